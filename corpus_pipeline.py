@@ -1,3 +1,64 @@
-STAGES = []
+"""A training corpus from `documents`: five stages, each over all that the one before it kept.
+
+1. toxicity: texts that the counterfactual-regularised classifier scores 0.5 or more go;
+2. jaccard_join: of each group of linked texts the document with the least id stays;
+3. decontaminate: texts with a passage of the benchmark go;
+4. secrets: secrets in the texts are masked, nothing goes;
+5. mix: documents are repeated to the sources' target weights and put in a random order.
+
+All but the last return the columns of `documents`.  A trained classifier and approximate bands have no
+DuckDB SQL, so ORACLE_SQL is None and tests hold the stages against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orbitframe.llm import decontaminate, jaccard_join, mix_sources, secrets, toxicity
+from orbitframe.llm.common import table, tune
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return docs.where(~toxicity.toxic(model)(F.col("text")))
+
+
+def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return jaccard_join.representatives(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """n_chars follows the masked text; a null text keeps its own."""
+    tune(spark)
+    out = secrets.mask(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_sources.shuffled(mix_sources.mix(docs, mix_sources.WEIGHTS))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", keep_representatives),
+    ("decontaminate", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("mix", mix),
+]
+
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
