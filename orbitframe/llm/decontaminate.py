@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -268,8 +269,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
 
 def _leaks(docs: DataFrame, part: list[tuple]):
-    import pandas as pd
-
     held = docs.sparkSession.sparkContext.broadcast(part)
     cache: list[Pieces] = []
 

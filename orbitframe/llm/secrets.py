@@ -12,6 +12,7 @@ import functools
 import hashlib
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,8 +114,6 @@ def masked(text: str, path: str = VOCABULARY, ratio: float = MAX_RATIO) -> str:
 
 def mask(docs: DataFrame, path: str = VOCABULARY, ratio: float = MAX_RATIO, text_col: str = "text") -> DataFrame:
     """docs with secrets in the texts masked; null texts stay null, and nothing else changes."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def hide(text: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else masked(t, path, ratio) for t in text], dtype=object)

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,8 +189,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def toxic(model: Model) -> Column:
     """A function of a text column: whether the score reaches 0.5."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def rejects(text: pd.Series) -> pd.Series:
         return pd.Series([model.score(words_of(t or "")) >= 0.5 for t in text], dtype=bool)
