@@ -43,7 +43,7 @@ def incomplete_beta(x: float, a: float, b: float) -> float:
         out *= c * d
         if i and abs(c * d - 1) < 1e-15:
             break
-    return front * out
+    return front * (out - 1)
 
 
 def change_sigma_db(looks: float) -> float:
@@ -75,7 +75,7 @@ def _column(fn, *args: Column) -> Column:
 
 def detection(looks: Column, threshold_db: float) -> list[Column]:
     """What speckle does to a change map, from the median looks; made for one row a series."""
-    held = F.least(F.greatest(looks, F.lit(1.0)), F.lit(MAX_LOOKS))
+    held = F.when(looks.isNotNull(), F.least(F.greatest(looks, F.lit(1.0)), F.lit(MAX_LOOKS)))
     return [
         F.bround(held, 2).alias("looks"),
         F.bround(_column(lambda a, _: change_sigma_db(a), held, held), 2).alias("cell_sigma_db"),

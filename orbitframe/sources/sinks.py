@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import struct
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +72,6 @@ def feature_collection(acq: DataFrame, properties: list[str], most: int = 10_000
 
 def wkb_box(w: Column, s: Column, e: Column, n: Column) -> Column:
     """A box as a WKB polygon, in vectorised Python (no built-in packs doubles)."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def pack(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         out = []

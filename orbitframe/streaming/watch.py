@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -13,16 +16,15 @@ from ..plans.spec import SearchSpec
 
 def watch_key(spec: SearchSpec) -> str:
     """A name for a standing query: a digest of its parameters."""
-    import hashlib
-    import json
-
     v = spec.validated()
     parts = {k: str(getattr(v, k)) for k in ("start", "end", "area", "fuzzy", "bbox", "products", "polarizations", "min_incidence", "max_incidence", "max_resolution", "rings")}
     return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()[:12]
 
 
 class WatchStore:
-    """Seen keys by watch name, as Parquet that only grows: a run appends the keys that it reports."""
+    """Seen keys by watch name, as Parquet that only grows: each run appends the keys that it saw first."""
+
+    SCHEMA = "watch string, key string, run string"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -31,13 +33,14 @@ class WatchStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def seen(self, name: str) -> DataFrame:
+    def seen(self, name: str, run: str | None = None) -> DataFrame:
         if not self._exists():
-            return self.spark.createDataFrame([], "watch string, key string")
-        return self.spark.read.schema("watch string, key string").parquet(self.path).where(F.col("watch") == name)
+            return self.spark.createDataFrame([], self.SCHEMA)
+        out = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("watch") == name)
+        return out.where(F.col("run") == run) if run else out
 
-    def remember(self, name: str, keys: DataFrame) -> None:
-        keys.select(F.lit(name).alias("watch"), F.col("key").cast("string")).write.mode("append").parquet(self.path)
+    def remember(self, name: str, keys: DataFrame, run: str) -> None:
+        keys.select(F.lit(name).alias("watch"), F.col("key").cast("string"), F.lit(run).alias("run")).write.mode("append").parquet(self.path)
 
 
 def item_key() -> Column:
@@ -45,16 +48,17 @@ def item_key() -> Column:
 
 
 def watch(found: DataFrame, name: str, store: WatchStore, reset: bool = False) -> dict:
-    """What a watch reports: items not seen before.  Keys are never forgotten, so one that comes back isn't new; reset reports all anew."""
+    """What a watch reports: items not seen before.  Keys are never forgotten, so one that comes back isn't new; reset reports all anew.
+
+    The keys of a run are stored under its own number first; what is reported is read back by that number.
+    """
     keyed = found.withColumn("key", item_key()).where("key is not null").dropDuplicates(["key"])
-    seen = store.seen(name).select("key").distinct()
+    seen, run = store.seen(name).select("key").distinct(), uuid.uuid4().hex
     first = seen.limit(1).count() == 0
-    new = (keyed if reset else keyed.join(seen, "key", "left_anti")).persist()
-    unseen = new.join(seen, "key", "left_anti") if reset else new
-    count = new.count()
-    store.remember(name, unseen)
+    store.remember(name, keyed.select("key").join(seen, "key", "left_anti"), run)
+    new = keyed if reset else keyed.join(store.seen(name, run).select("key"), "key", "left_semi")
     total = store.seen(name).select("key").distinct().count()
-    return {"watch": name, "checked_at": datetime.now(timezone.utc), "first_run": first, "new_count": count, "total_seen": total, "new_items": new.drop("key")}
+    return {"watch": name, "checked_at": datetime.now(timezone.utc), "first_run": first, "new_count": new.count(), "total_seen": total, "new_items": new.drop("key")}
 
 
 def watch_stream(stream: DataFrame, name: str) -> DataFrame:
