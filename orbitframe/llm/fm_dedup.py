@@ -13,11 +13,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WORD, map_rows, table, tune
-from .windows import Cutter, covered, numbered, shard_count, stretch_mask
+from .common import table, tune
+from .windows import WORD_BYTES, Cutter, judged, numbered, shard_count
 
 LENGTH = 13
 GRAM = 4
@@ -137,21 +136,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     rows = numbered(docs, id_col, text_col)
     cutter = Cutter(LENGTH, GRAM, True, shard_count(docs))
-    found = covered(rows.where("doc_id is not null").select("doc_id", "base", "text"), cutter, solve)
-
-    def cut(part: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "kept")}
-        for text, base, codes in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-            words = WORD.findall(text or "")
-            mask = stretch_mask(codes, base, len(words))
-            kept = " ".join(w for w, gone in zip(words, mask.tolist(), strict=True) if not gone) if codes else " ".join(words)
-            out["n_words"].append(len(words))
-            out["n_removed"].append(int(mask.sum()))
-            out["kept_sha256"].append(hashlib.sha256(kept.encode()).hexdigest())
-            out["kept"].append(kept)
-        return out
-
-    return map_rows(rows.join(found, "doc_id", "left"), ["doc_id", "text", "base", "codes"], cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return judged(rows, cutter, solve, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+def finish(raw: bytes, gone: np.ndarray | None) -> tuple:
+    """(words, words that go, digest of what stays, what stays)."""
+    words = WORD_BYTES.findall(raw)
+    kept = b" ".join(words) if gone is None else b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
+    return len(words), 0 if gone is None else int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,14 +16,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_rows, table, tune
-from .windows import LETTERS, WIDE, Cutter, covered, numbered, ragged, shard_count, stretch_mask
+from .common import table, tune
+from .windows import LETTERS, WIDE, Cutter, judged, numbered, ragged, shard_count
 
 LENGTH = 50
-GRAM = 16
+GRAM = 12
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -157,22 +156,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     rows = numbered(docs, id_col, text_col)
     cutter = Cutter(LENGTH, GRAM, False, shard_count(docs))
-    found = covered(rows.where("doc_id is not null").select("doc_id", "base", "text"), cutter, solve)
-
-    def cut(part: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for text, base, codes in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-            raw = (text or "").encode()
-            mask = stretch_mask(codes, base, len(raw))
-            kept = np.frombuffer(raw, np.uint8)[~mask].tobytes() if codes else raw
-            out["n_bytes"].append(len(raw))
-            out["n_removed"].append(int(mask.sum()))
-            out["n_spans"].append(int((mask & ~np.concatenate([[False], mask[:-1]])).sum()) if len(mask) else 0)
-            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept)
-        return out
-
-    return map_rows(rows.join(found, "doc_id", "left"), ["doc_id", "text", "base", "codes"], cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return judged(rows, cutter, solve, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def finish(raw: bytes, gone: np.ndarray | None) -> tuple:
+    """(bytes, bytes that go, runs that go, digest of what stays, what stays)."""
+    if gone is None:
+        return len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw
+    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+    return len(raw), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()), hashlib.sha256(kept).hexdigest(), kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,20 +26,23 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import durable, mix64, rolling
 
-#: Code points of texts that are cut into segments together, but for single texts that are longer.
-CHUNK = 1_500_000
+#: Bytes of texts that are hashed together, and that travel together, but for single texts that are longer.
+CHUNK, FLUSH = 1_000_000, 6_000_000
 #: Occurrences of a segment within a chunk that travel with it.
 FEW = 4
 #: Bytes of input files for each shard, and least number of shards.
-SHARD_BYTES, LEAST_SHARDS = 2_000_000, 8
+SHARD_BYTES, LEAST_SHARDS = 1_000_000, 8
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+WORD_BYTES = re.compile(rb"[^\x20\x09-\x0d]+")
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -73,12 +77,29 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size - start, size)
 
 
-def pack(*arrays) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, 5), 3)
-
-
-def unpack(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.decompress(blob))
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes: numbers above the least, in the narrowest type, byte plane by byte plane."""
+    out = []
+    for x in arrays:
+        if x.dtype == np.uint8 or not len(x):
+            out.append((x, None, x.dtype.str))
+            continue
+        low = x.min()
+        y = x - low
+        y = y.astype(np.min_scalar_type(int(y.max())))
+        out.append((np.ascontiguousarray(y.view(np.uint8).reshape(len(y), -1).T), low, x.dtype.str))
+    return zstandard.compress(pickle.dumps(out, 5), 3)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    out = []
+    for planes, low, kind in pickle.loads(zstandard.decompress(blob)):
+        if low is None:
+            out.append(planes)
+        else:
+            y = np.ascontiguousarray(planes.T)
+            out.append(y.view(f"u{y.shape[1]}").ravel().astype(kind) + low)
+    return out
 
 
 def anchored(grams: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,11 +127,11 @@ class Cutter:
     def __init__(self, length: int, gram: int, words: bool, shards: int):
         self.length, self.gram, self.words, self.shards = length, gram, words, shards
 
-    def cut(self, ids: np.ndarray, base: np.ndarray, rows: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        """(shard, kind, columns); kind 0 has segments, kind 1 the occurrences of crowded ones."""
-        raw = np.frombuffer(b"\n".join(rows), np.uint8)
+    def cut(self, ids: np.ndarray, base: np.ndarray, rows: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(bytes of the rows, and for each segment its shard, hash, first byte, bytes, anchor's token, id, place in its row)."""
+        raw = np.frombuffer(b"\n".join([*rows, b""]), np.uint8)
         sizes = np.array([len(r) for r in rows], np.int64)
-        begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        begin = np.cumsum(sizes + 1) - (sizes + 1)
         if self.words:
             first, stop = word_bounds(raw)
             token = span_hashes(_BYTE[raw], first, stop)
@@ -119,51 +140,52 @@ class Cutter:
         else:
             token, first, row_from, counts = _BYTE[raw], None, begin, sizes
         windows = np.maximum(counts - self.length + 1, 0)
+        none = np.empty(0, np.int64)
         if not windows.sum():
-            return
+            return raw, none, none.astype(np.uint64), none, none, none, none, none
         valid = np.zeros(len(token) - self.length + 1, bool)
         valid[ragged(row_from, windows)] = True
         grams = rolling(token, self.gram)
         anchor, a, last = anchored(grams, valid, self.length - self.gram + 1)
         z = last + self.length  # tokens [a, z) hold the windows that start at a ... last
         shard = (mix64(grams[anchor] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(self.shards)).astype(np.int64)
-        same = span_hashes(token, a, z)
         row = np.searchsorted(row_from, a, side="right") - 1
-        offset = a - row_from[row] + base[row]
-        del grams, valid
-        order = np.lexsort((a, same, shard))
-        keys = same[order]
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (shard[order][1:] != shard[order][:-1])])
-        head = order[new]
-        group = np.cumsum(new) - 1
+        start, end = (first[a], stop[z - 1]) if self.words else (a, z)
+        return raw, shard, span_hashes(token, a, z), start, end - start, anchor - a, ids[row], a - row_from[row] + base[row]
+
+    def send(self, parts: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int, bytes]]:
+        """(shard, kind, columns) of several cuts; kind 0 has segments, kind 1 the occurrences of crowded ones."""
+        at = np.cumsum([0, *(len(p[0]) for p in parts)])
+        raw = np.concatenate([p[0] for p in parts])
+        shard, same, start, size, core, doc, offset = (np.concatenate([p[i] + (n if i == 3 else 0) for p, n in zip(parts, at, strict=False)]) if i == 3 else np.concatenate([p[i] for p in parts]) for i in range(1, 8))
+        if not len(shard):
+            return
+        order = np.lexsort((start, same, shard))
+        new = np.concatenate([[True], (same[order][1:] != same[order][:-1]) | (shard[order][1:] != shard[order][:-1])])
+        heads, group = order[new], np.cumsum(new) - 1
         times = np.bincount(group)
-        doc = ids[row[order]]
-        least = np.minimum.reduceat(doc, np.flatnonzero(new))
+        least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
         crowd = times > FEW
-        pick = int.from_bytes(hashlib.blake2b(np.sort(ids).tobytes(), digest_size=8).digest(), "little")
-        meet = ((mix64(same[head] + np.uint64(pick)) % np.uint64(self.shards)).astype(np.int64)) * crowd - ~crowd
-        lone = ~crowd[group]
-        if self.words:
-            byte_a, byte_z = first[a[head]], stop[z[head] - 1]
-        else:
-            byte_a, byte_z = a[head], z[head]
-        shards = shard[head]
-        kept_doc, kept_offset, kept_times = doc[lone], offset[order][lone], np.where(crowd, 0, times)
-        edges, at = np.searchsorted(shards, np.arange(self.shards + 1)), np.concatenate([[0], np.cumsum(kept_times)])
-        size = byte_z - byte_a
-        for s in np.unique(shards).tolist():
+        pick = np.uint64(int.from_bytes(hashlib.blake2b(np.sort(doc).tobytes(), digest_size=8).digest(), "little"))
+        meet = np.where(crowd, (mix64(same[heads] ^ pick) % np.uint64(self.shards)).astype(np.int64), -1)
+        # In the order of the texts, numbers that follow each other are close and compress.
+        by = np.lexsort((start[heads], shard[heads]))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        own = order[~crowd[group]]
+        own = own[np.argsort(rank[group[~crowd[group]]], kind="stable")]
+        heads, crowd, least, meet, kept = heads[by], crowd[by], least[by], meet[by], np.where(crowd, 0, times)[by]
+        edges, to = np.searchsorted(shard[heads], np.arange(self.shards + 1)), np.concatenate([[0], np.cumsum(kept)])
+        for s in np.flatnonzero(np.diff(edges)).tolist():
             i, j = edges[s], edges[s + 1]
-            d = kept_doc[at[i] : at[j]]
-            yield (
-                s, 0,
-                pack(raw[ragged(byte_a[i:j], size[i:j])], size[i:j].astype(np.int32), (anchor[head] - a[head])[i:j].astype(np.int16), least[i:j], meet[i:j].astype(np.int32), kept_times[i:j].astype(np.uint8), d, kept_offset[at[i] : at[j]]),
-            )
-        if crowd.any():
-            far = crowd[group]
-            own, d, o, k = meet[group[far]], doc[far], offset[order][far], keys[far]
-            for s in np.unique(own).tolist():
-                m = own == s
-                yield s, 1, pack(k[m], d[m], o[m])
+            h, c, o = heads[i:j], crowd[i:j], own[to[i] : to[j]]
+            yield s, 0, pack(raw[ragged(start[h], size[h])], size[h], core[h], kept[i:j], doc[o], offset[o], least[i:j][c], meet[i:j][c])
+        far = order[np.isin(group, np.flatnonzero(times > FEW))] if (times > FEW).any() else order[:0]
+        if len(far):
+            goal = (mix64(same[far] ^ pick) % np.uint64(self.shards)).astype(np.int64)
+            for s in np.unique(goal).tolist():
+                m = far[goal == s]
+                yield s, 1, pack(same[m], doc[m], offset[m])
 
 
 def shard_count(df: DataFrame) -> int:
@@ -172,29 +194,52 @@ def shard_count(df: DataFrame) -> int:
     return max(LEAST_SHARDS, min(size // SHARD_BYTES, 1 << 24))
 
 
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, bytes]]:
+    for batch in batches:
+        for i, b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), pc.cast(batch.column(2), pa.binary()), strict=True):
+            yield i, b, t.as_py() or b""
+
+
+def emit(rows, most: int = 64) -> Iterator[pa.RecordBatch]:
+    """(shard, kind, columns) as Arrow batches."""
+    out = []
+    for row in rows:
+        out.append(row)
+        if len(out) >= most:
+            yield _batch(out)
+            out = []
+    if out:
+        yield _batch(out)
+
+
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    s, k, b = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.int32()), pa.array(b, pa.binary())], ["shard", "kind", "columns"])
+
+
 def segments(docs: DataFrame, cutter: Cutter) -> DataFrame:
     """(shard, kind, columns) of docs(doc_id, base, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, base, rows, total = [], [], [], 0
+        ids, base, rows, total, parts, held = [], [], [], 0, [], 0
 
-        def flush():
-            out = list(cutter.cut(np.array(ids, np.int64), np.array(base, np.int64), rows))
+        def cut():
+            parts.append(cutter.cut(np.array(ids, np.int64), np.array(base, np.int64), rows))
             ids.clear(), base.clear(), rows.clear()
-            for i in range(0, len(out), 64):
-                s, k, b = zip(*out[i : i + 64], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.int32()), pa.array(b, pa.binary())], ["shard", "kind", "columns"])
-
-        for batch in batches:
-            for i, b, t in zip(*(batch.column(c).to_pylist() for c in range(2)), pc.cast(batch.column(2), pa.binary()), strict=True):
-                text = t.as_py() or b""
-                if rows and total + len(text) > CHUNK:
-                    yield from flush()
-                    total = 0
-                ids.append(i), base.append(b), rows.append(text)
-                total += len(text)
+
+        for i, b, text in texts_of(batches):
+            if rows and total + len(text) > CHUNK:
+                cut()
+                held, total = held + total, 0
+                if held >= FLUSH:
+                    yield from emit(cutter.send(parts))
+                    parts, held = [], 0
+            ids.append(i), base.append(b), rows.append(text)
+            total += len(text)
         if rows:
-            yield from flush()
+            cut()
+        if parts:
+            yield from emit(cutter.send(parts))
 
     return docs.mapInArrow(run, "shard int, kind int, columns binary")
 
@@ -211,22 +256,24 @@ class Shard:
 
     def judge(self, blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         """(shard, kind, columns): kind 2 has covered stretches by document, kind 3 judgements for crowded segments."""
-        parts = [unpack(b) for b in blobs]
-        blobs.clear()
-        raw, size, core, least, meet, times, doc, offset = (np.concatenate([p[i] for p in parts]) for i in range(8))
-        del parts
         length = self.cutter.length
-        if self.cutter.words:
-            start = np.cumsum(size) - size
-            spaced = np.full(len(raw) + len(size), 10, np.uint8)
-            spaced[ragged(start + np.arange(len(size)), size)] = raw
-            a, z = word_bounds(spaced)
-            token = span_hashes(_BYTE[spaced], a, z)
-            begin = np.searchsorted(a, start + np.arange(len(size)))
-            count = np.append(begin[1:], len(a)) - begin
-        else:
-            token, begin, count = raw, np.cumsum(size) - size, size.astype(np.int64)
-        same = span_hashes(token if self.cutter.words else _BYTE[token], begin, begin + count)
+        parts, at = [], 0
+        while blobs:  # part by part: hashes need many times the room of the tokens
+            raw, size, core, times, doc, offset, crowd_least, crowd_meet = unpack(blobs.pop())
+            token, begin, count, same, marks, owner = self.hashed(raw, size, core)
+            crowd = times == 0
+            least, meet = np.empty(len(size), np.int64), np.full(len(size), -1, np.int64)
+            least[crowd], meet[crowd] = crowd_least, crowd_meet
+            if len(doc):
+                least[~crowd] = np.minimum.reduceat(doc, (np.cumsum(times) - times)[~crowd])
+            parts.append((token, begin + at, count, core, same, marks, owner, least, meet, times, doc, offset))
+            at += len(token)
+        first_of = np.cumsum([0, *(len(p[1]) for p in parts)])
+        token, begin, count, core, same, marks = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        owner = np.concatenate([p[6] + n for p, n in zip(parts, first_of, strict=False)])
+        least, meet, times, doc, offset = (np.concatenate([p[i] for p in parts]) for i in range(7, 12))
+        size = count
+        del parts
         # One text, one segment.
         order = np.argsort(same, kind="stable")
         new = np.concatenate([[True], same[order][1:] != same[order][:-1]])
@@ -241,7 +288,16 @@ class Shard:
         np.maximum.at(high, group[at], doc)
         many = high > low
         many[group[meet >= 0]] = True
-        keep = self.candidates(token, begin[head], count[head], core[head], many)
+        # Segments that may have a window in two documents: those of several, and those that share what any match must share.
+        place = np.full(len(order), -1, np.int64)
+        place[head] = np.arange(len(head))
+        real = place[owner] >= 0
+        m, o = marks[real], place[owner[real]]
+        by = np.argsort(m, kind="stable")
+        eq = m[by][1:] == m[by][:-1]
+        keep = many.copy()
+        keep[o[by][1:][eq]] = True
+        keep[o[by][:-1][eq]] = True
         if not keep.any():
             return
         b, c = begin[head][keep], count[head][keep]
@@ -261,29 +317,27 @@ class Shard:
             w = width[group[m]]
             yield s, 3, pack(same[m], w, found[ragged(first[group[m]], w)])
 
-    def candidates(self, token, begin, count, core, many) -> np.ndarray:
-        """Which segments may have a window in two documents: those of several, and those that share what any match must share."""
-        if self.cutter.words:
-            g = rolling(token, self.cutter.gram)[begin + core]
-            mask = np.ones(len(begin), bool)
-        else:  # aligned stretches of six letters
-            w = WIDE * LETTERS
-            lead = core % WIDE
-            n = np.maximum((count - lead - w) // WIDE + 1, 0)
-            p = np.repeat(begin + lead, n) + WIDE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            g = rolling(_BYTE[token], w)[p] if len(p) else np.empty(0, np.uint64)
-            mask = np.repeat(np.arange(len(begin)), n)
-        order = np.argsort(g, kind="stable")
-        s = g[order]
-        twice = np.zeros(len(g), bool)
-        eq = s[1:] == s[:-1]
-        twice[order[1:][eq]] = True
-        twice[order[:-1][eq]] = True
+    def hashed(self, raw: np.ndarray, size: np.ndarray, core: np.ndarray) -> tuple:
+        """(tokens, starts, counts, hashes of the segments, marks, whose they are) of one part.
+
+        A mark is a hash of what a match shares with its twin whatever else it has: the anchor's gram
+        for words, for bytes each stretch of six letters at the anchor's alignment.
+        """
         if self.cutter.words:
-            return many | (twice & mask)
-        out = many.copy()
-        out[mask[twice]] = True
-        return out
+            start = np.cumsum(size + 1) - (size + 1)
+            spaced = np.full(len(raw) + len(size), 10, np.uint8)
+            spaced[ragged(start, size)] = raw
+            a, z = word_bounds(spaced)
+            token = span_hashes(_BYTE[spaced], a, z)
+            begin = np.searchsorted(a, start)
+            count = np.append(begin[1:], len(a)) - begin
+            return token, begin, count, span_hashes(token, begin, begin + count), rolling(token, self.cutter.gram)[begin + core], np.arange(len(size))
+        begin, count = np.cumsum(size) - size, size.astype(np.int64)
+        value, w = _BYTE[raw], WIDE * LETTERS
+        lead = core % WIDE
+        n = np.maximum((count - lead - w) // WIDE + 1, 0)
+        at = np.repeat(begin + lead, n) + WIDE * ragged(np.zeros(len(n), np.int64), n)
+        return raw, begin, count, span_hashes(value, begin, begin + count), rolling(value, w)[at], np.repeat(np.arange(len(size)), n)
 
 
 #: Letters of the suffix arrays over bytes: so many bytes make a letter, so many letters a comparison.
@@ -320,21 +374,41 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield now, rows
 
 
-def _emit(rows) -> Iterator[pa.RecordBatch]:
-    for s, k, b in rows:
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([k], pa.int32()), pa.array([b], pa.binary())], ["shard", "kind", "columns"])
+Finish = Callable[[bytes, np.ndarray], tuple]
 
 
-def covered(docs: DataFrame, cutter: Cutter, solve: Solver) -> DataFrame:
-    """doc_id and stretches (an array of start << 12 | tokens) of docs(doc_id, base, text) that repeat what a smaller id has."""
+def judged(docs: DataFrame, cutter: Cutter, solve: Solver, finish: Finish, schema: str) -> DataFrame:
+    """A row for each of docs(doc_id, base, text): doc_id and what `finish` makes of the text and the stretches in it that go."""
+    docs = docs.select("doc_id", "base", "text")
     shard = Shard(cutter, solve)
+    homes = max(LEAST_SHARDS, cutter.shards // 4)
+    fields = to_arrow_schema(T._parse_datatype_string(schema))
+    tokens = cutter.words
+
+    def home(doc: np.ndarray) -> np.ndarray:
+        return (mix64(doc.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+
+    def sent_home(rows):
+        """Stretches go to the homes of their documents."""
+        for s, k, b in rows:
+            if k != 2:
+                yield s, k, b
+                continue
+            doc, code = unpack(b)
+            h = home(doc)
+            order = np.argsort(h, kind="stable")
+            edges = np.searchsorted(h[order], np.arange(homes + 1))
+            for i in np.flatnonzero(np.diff(edges)).tolist():
+                m = order[edges[i] : edges[i + 1]]
+                yield i, 2, pack(doc[m], code[m])
 
     def first(batches):
         for own, rows in by_shard(batches):
-            yield from _emit((own, 1, b) for k, b in rows if k == 1)
+            yield from emit((own, 1, b) for k, b in rows if k == 1)
             blobs = [b for k, b in rows if k == 0]
+            rows.clear()
             if blobs:
-                yield from _emit(shard.judge(blobs))
+                yield from emit(sent_home(merged(shard.judge(blobs))))
 
     def second(batches):
         for _, rows in by_shard(batches):
@@ -344,25 +418,80 @@ def covered(docs: DataFrame, cutter: Cutter, solve: Solver) -> DataFrame:
             same, w, found = (np.concatenate([t[i] for t in told]) for i in range(3))
             start = np.cumsum(w) - w
             keys, at = np.unique(same, return_index=True)
+
+            def met(rows=rows, keys=keys, at=at, start=start, w=w, found=found):
+                for k, b in rows:
+                    if k == 1:
+                        key, doc, offset = unpack(b)
+                        slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                        hit = keys[slot] == key
+                        g = at[slot[hit]]
+                        yield from stretches(found, start[g], w[g], doc[hit], offset[hit], cutter.length)
+
+            yield from emit(sent_home(merged(met())))
+
+    def homed(batches):
+        """The texts themselves, on their way to where their stretches arrive."""
+        ids, base, rows, total = [], [], [], 0
+
+        def flush():
+            null = np.array([i is None for i in ids])
+            doc = np.array([i or 0 for i in ids], np.int64)
+            size, b = np.array([len(r) for r in rows], np.int64), np.array(base, np.int64)
+            raw = np.frombuffer(b"".join(rows), np.uint8)
+            start = np.cumsum(size) - size
+            h = np.where(null, np.arange(len(doc)) % homes, home(doc))
+            for s in np.unique(h).tolist():
+                m = np.flatnonzero(h == s)
+                yield s, 4, pack(raw[ragged(start[m], size[m])], size[m], doc[m], b[m], null[m].astype(np.uint8))
+
+        for i, b, text in texts_of(batches):
+            ids.append(i), base.append(b), rows.append(text)
+            total += len(text)
+            if total >= FLUSH:
+                yield from emit(flush())
+                ids, base, rows, total = [], [], [], 0
+        if rows:
+            yield from emit(flush())
+
+    def last(batches):
+        for _, rows in by_shard(batches):
+            told = [unpack(b) for k, b in rows if k == 2]
+            doc, code = (np.concatenate([t[i] for t in told]) for i in range(2)) if told else (np.empty(0, np.int64),) * 2
+            order = np.argsort(doc, kind="stable")
+            doc, code = doc[order], code[order]
             for k, b in rows:
-                if k == 1:
-                    key, doc, offset = unpack(b)
-                    slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = keys[slot] == key
-                    g = at[slot[hit]]
-                    yield from _emit(stretches(found, start[g], w[g], doc[hit], offset[hit], cutter.length))
-
-    def spread(batches):
-        for batch in batches:
-            for b in batch.column(2).to_pylist():
-                d, c = unpack(b)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "code"])
-
-    schema = "shard int, kind int, columns binary"
-    judged = durable(segments(docs, cutter).repartition("shard").sortWithinPartitions("shard").mapInArrow(first, schema))
-    crowds = judged.where("kind in (1, 3)").repartition("shard").sortWithinPartitions("shard").mapInArrow(second, schema)
-    rows = judged.where("kind = 2").unionByName(crowds).mapInArrow(spread, "doc_id long, code long")
-    return rows.groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
+                if k != 4:
+                    continue
+                raw, size, ids, base, null = unpack(b)
+                at = np.cumsum(size) - size
+                lo, hi = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
+                made = []
+                for i in range(len(ids)):
+                    text = raw[at[i] : at[i] + size[i]].tobytes()
+                    own = code[lo[i] : hi[i]] if not null[i] else code[:0]
+                    mask = stretch_mask(own, int(base[i]), len(WORD_BYTES.findall(text)) if tokens else len(text)) if len(own) else None
+                    made.append((None if null[i] else int(ids[i]), *finish(text, mask)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), fields, strict=True)], schema=fields)
+
+    blob = "shard int, kind int, columns binary"
+    one = durable(segments(docs.where("doc_id is not null"), cutter).repartition("shard").sortWithinPartitions("shard").mapInArrow(first, blob))
+    crowds = one.where("kind in (1, 3)").repartition("shard").sortWithinPartitions("shard").mapInArrow(second, blob)
+    home_rows = one.where("kind = 2").unionByName(crowds).unionByName(docs.mapInArrow(homed, blob))
+    return home_rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(last, schema)
+
+
+def merged(rows):
+    """Stretches of one shard in one piece; the other rows as they are."""
+    docs, codes = [], []
+    for s, k, b in rows:
+        if k != 2:
+            yield s, k, b
+            continue
+        d, c = unpack(b)
+        docs.append(d), codes.append(c)
+    if docs:
+        yield -1, 2, pack(np.concatenate(docs), np.concatenate(codes))
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -378,13 +507,11 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("_lone", lone).withColumn("base", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long")).drop("_lone")
 
 
-def stretch_mask(codes: list[int] | None, base: int, n: int) -> np.ndarray:
+def stretch_mask(codes: np.ndarray, base: int, n: int) -> np.ndarray:
     """Which of a row's n tokens are covered."""
     edge = np.zeros(n + 1, np.int32)
-    if codes is not None and len(codes):
-        c = np.asarray(codes, np.int64)
-        a, size = (c >> 12) - base, c & 4095
-        own = (a >= 0) & (a + size <= n)
-        np.add.at(edge, a[own], 1)
-        np.add.at(edge, (a + size)[own], -1)
+    a, size = (codes >> 12) - base, codes & 4095
+    own = (a >= 0) & (a + size <= n)
+    np.add.at(edge, a[own], 1)
+    np.add.at(edge, (a + size)[own], -1)
     return np.cumsum(edge[:-1]) > 0
