@@ -53,24 +53,35 @@ def suffix_array(text: list[int]) -> list[int]:
     prev = [-1] * n
     end = n - 1
     while end >= 0:
-        low = group[order[end]]
+        i = order[end]
+        low = group[i]
+        if low == end:  # a suffix by itself, as most are: the general step written out
+            p = i - 1
+            while p >= 0 and group[p] >= low:
+                p = prev[p]
+            prev[i] = p
+            end -= 1
+            if p >= 0:
+                g = group[p]
+                s = size[g] - 1
+                if s:
+                    size[g] = s
+                    e, at = g + s, place[p]
+                    if e != at:
+                        other = order[e]
+                        order[e], order[at] = p, other
+                        place[p], place[other] = e, at
+                    group[p] = e
+                    size[e] = 1
+            continue
         followers: dict[int, int] = {}
-        if low == end:
-            i = order[end]
+        for i in sorted(order[low : end + 1]):
             p = i - 1
             while p >= 0 and group[p] >= low:
                 p = prev[p]
             prev[i] = p
             if p >= 0:
-                followers[p] = 1
-        else:
-            for i in sorted(order[low : end + 1]):
-                p = i - 1
-                while p >= 0 and group[p] >= low:
-                    p = prev[p]
-                prev[i] = p
-                if p >= 0:
-                    followers[p] = followers.get(p, 0) + 1
+                followers[p] = followers.get(p, 0) + 1
         if followers:
             levels: dict[int, list[int]] = {}
             for p, k in followers.items():

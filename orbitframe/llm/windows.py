@@ -32,11 +32,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import durable, mix64, rolling
 
 #: Bytes of texts that are hashed together, and that travel together, but for single texts that are longer.
-CHUNK, FLUSH = 1_000_000, 6_000_000
+CHUNK, FLUSH = 1_000_000, 8_000_000
 #: Occurrences of a segment within a chunk that travel with it.
 FEW = 4
 #: Bytes of input files for each shard, and least number of shards.
-SHARD_BYTES, LEAST_SHARDS = 1_000_000, 8
+SHARD_BYTES, LEAST_SHARDS = 2_000_000, 8
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -160,8 +160,8 @@ class Cutter:
         shard, same, start, size, core, doc, offset = (np.concatenate([p[i] + (n if i == 3 else 0) for p, n in zip(parts, at, strict=False)]) if i == 3 else np.concatenate([p[i] for p in parts]) for i in range(1, 8))
         if not len(shard):
             return
-        order = np.lexsort((start, same, shard))
-        new = np.concatenate([[True], (same[order][1:] != same[order][:-1]) | (shard[order][1:] != shard[order][:-1])])
+        order = np.argsort(same, kind="stable")  # equal segments in the order of the texts; they have one shard
+        new = np.concatenate([[True], same[order][1:] != same[order][:-1]])
         heads, group = order[new], np.cumsum(new) - 1
         times = np.bincount(group)
         least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
@@ -169,7 +169,8 @@ class Cutter:
         pick = np.uint64(int.from_bytes(hashlib.blake2b(np.sort(doc).tobytes(), digest_size=8).digest(), "little"))
         meet = np.where(crowd, (mix64(same[heads] ^ pick) % np.uint64(self.shards)).astype(np.int64), -1)
         # In the order of the texts, numbers that follow each other are close and compress.
-        by = np.lexsort((start[heads], shard[heads]))
+        by = np.argsort(heads)
+        by = by[np.argsort(shard[heads[by]].astype(np.int32), kind="stable")]
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
         own = order[~crowd[group]]
@@ -337,7 +338,8 @@ class Shard:
         lead = core % WIDE
         n = np.maximum((count - lead - w) // WIDE + 1, 0)
         at = np.repeat(begin + lead, n) + WIDE * ragged(np.zeros(len(n), np.int64), n)
-        return raw, begin, count, span_hashes(value, begin, begin + count), rolling(value, w)[at], np.repeat(np.arange(len(size)), n)
+        both = span_hashes(value, np.concatenate([begin, at]), np.concatenate([begin + count, at + w]))
+        return raw, begin, count, both[: len(begin)], both[len(begin) :], np.repeat(np.arange(len(size)), n)
 
 
 #: Letters of the suffix arrays over bytes: so many bytes make a letter, so many letters a comparison.
