@@ -5,9 +5,8 @@ total * w_s / n_s times.  A document's count is the Poisson distribution with th
 uniform number made from md5(seed, id); the copies are then dealt out in a random total order.
 
 Only the per-source counts are gathered (one partial aggregate).  The inverse distribution is a
-sorted array on each source's row, so that documents meet it by an ordinary equi-join: Catalyst
-broadcasts it while its measured size is small and otherwise uses a sort-merge join whose hot sources
-AQE splits.  Nothing is sampled, capped or collected.
+sorted array on each source's row, so that documents meet it by an equi-join: the table is sent to all tasks
+if its measured size allows, else a sort-merge join runs, whose hot sources AQE splits.  Nothing is sampled or capped.
 """
 
 from __future__ import annotations
@@ -15,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, table
 
 #: Production parameters of the query: relative weights; a source without an own one has the default.
 WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 0.5}
 SEED = "mix-1"
+#: Largest table of distributions, in numbers of eight bytes, that is sent to all tasks; a larger one is joined by a shuffle.
+BROADCAST_NUMBERS = 1_000_000
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -76,6 +77,10 @@ def mix(
         F.col(source_col).alias("_source"),
         F.when(F.col("_sum") > 0, F.lit(float(epochs)) * F.col("_all") * F.col("_w") / F.col("_sum") / F.col("_n")).otherwise(F.lit(0.0)).alias("mix_rate"),
     ).withColumn("_cdf", poisson_table(F.col("mix_rate")))
+    rates = durable(rates)
+    numbers = rates.agg(F.coalesce(F.sum(F.size("_cdf") + 4), F.lit(0)).alias("n")).first()["n"]
+    if numbers <= BROADCAST_NUMBERS:
+        rates = F.broadcast(rates)
     draw = uniform(seed, F.col(id_col))
     met = docs.join(rates, key.eqNullSafe(F.col("_source"))).withColumn("_u", draw)
     counted = met.withColumn("_k", F.size(F.filter("_cdf", lambda c: c < F.col("_u")))).where(F.col("_k") > 0)
