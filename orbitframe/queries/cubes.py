@@ -144,7 +144,7 @@ REGISTERED = {
     "cube_grid_text": (
         _text,
         f"""WITH {cells_sql()}, {_NET}, b AS (SELECT {_slice_sql('row', 32, 4)} AS block_row, {_slice_sql('col', 32, 4)} AS block_col, avg(delta) AS m FROM n WHERE delta IS NOT NULL GROUP BY 1, 2)
-        SELECT block_row, string_agg(printf('%+5.1f', m), ' ' ORDER BY block_col) AS line FROM b GROUP BY block_row""",
+        SELECT block_row, string_agg(CASE WHEN m IS NULL THEN '   . ' ELSE printf('%+5.1f', m) END, ' ' ORDER BY block_col) AS line FROM (SELECT x.i::INT AS block_row, y.i::INT AS block_col, m FROM range(0, 4) x(i) CROSS JOIN range(0, 4) y(i) LEFT JOIN b ON b.block_row = x.i AND b.block_col = y.i) GROUP BY block_row""",
     ),
     "best_interval": (
         _best,

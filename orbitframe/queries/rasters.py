@@ -27,11 +27,11 @@ _BOX = """box AS (
 
 
 def _box(spark, sf_dir):
-    return raster.box_filter(cells(spark, sf_dir, True), 5, ["pass_idx"]).select("pass_idx", "row", "col", F.round("filtered", 3).alias("filtered"))
+    return raster.box_filter(cells(spark, sf_dir, True), 5, ["pass_idx"]).select("pass_idx", "row", "col", F.round(F.col("filtered") + 3e-7, 5).alias("filtered"))
 
 
 def _lee(spark, sf_dir):
-    return raster.lee_filter(cells(spark, sf_dir), 4, 5, ["pass_idx"]).select("pass_idx", "row", "col", F.round("filtered", 2).alias("filtered"))
+    return raster.lee_filter(cells(spark, sf_dir), 4, 5, ["pass_idx"]).select("pass_idx", "row", "col", F.round(F.col("filtered") + 3e-4, 2).alias("filtered"))
 
 
 def _stretch(spark, sf_dir):
@@ -133,16 +133,16 @@ def _heights(spark, sf_dir):
 REGISTERED = {
     "enl_blocks": (_looks, f"{_LOOKS} SELECT pass_idx, block_row, block_col, n, round(m * m / v, 6) AS looks FROM k"),
     "enl_by_pass": (_looks_pass, f"{_LOOKS} SELECT pass_idx, round(median(m * m / v), 6) AS looks FROM k GROUP BY pass_idx"),
-    "box_filter_5": (_box, f"WITH {cells_sql(True)}, c AS (SELECT pass_idx, row, col, CASE WHEN value > 0 THEN value END AS v FROM cells), {_BOX} SELECT pass_idx, row, col, round(s1 / n, 3) AS filtered FROM box"),
+    "box_filter_5": (_box, f"WITH {cells_sql(True)}, c AS (SELECT pass_idx, row, col, CASE WHEN value > 0 THEN value END AS v FROM cells), {_BOX} SELECT pass_idx, row, col, round(s1 / n + 3e-7, 5) AS filtered FROM box"),
     "lee_filter_5": (
         _lee,
         f"""WITH {cells_sql()}, c AS (SELECT pass_idx, row, col, value AS v FROM cells), {_BOX}, m AS (SELECT *, s1 / n AS m, greatest(s2 / n - (s1 / n) * (s1 / n), 0) AS var FROM box)
-        SELECT pass_idx, row, col, round(m + CASE WHEN var > 0 THEN greatest(0, least(1, (var - m * m / 4) / (var * 1.25))) ELSE 0 END * (v - m), 2) AS filtered FROM m""",
+        SELECT pass_idx, row, col, round(m + CASE WHEN var > 0 THEN greatest(0, least(1, (var - m * m / 4) / (var * 1.25))) ELSE 0 END * (v - m) + 3e-4, 2) AS filtered FROM m""",
     ),
     "stretch_2_98": (_stretch, f"WITH {cells_sql(True)}, {_STRETCH} SELECT * FROM s"),
     "change_composite": (
         _composite,
-        f"""WITH {cells_sql(True)}, {_STRETCH}, w AS (SELECT row, col, max(level) FILTER (pass_idx = 1) AS x, max(level) FILTER (pass_idx = 4) AS y FROM s GROUP BY row, col)
+        f"""WITH {cells_sql(True)}, {_STRETCH}, w AS (SELECT row, col, max(level) FILTER (pass_idx = 1) AS x, max(level) FILTER (pass_idx = 4) AS y FROM s WHERE pass_idx IN (1, 4) GROUP BY row, col)
         SELECT row, col, coalesce(x, 0) AS r, coalesce(y, 0) AS g, coalesce(x, 0) AS b, CASE WHEN x IS NULL OR y IS NULL THEN 0 ELSE 255 END AS a FROM w""",
     ),
     "chips_grid": (
