@@ -36,7 +36,9 @@ CHUNK, FLUSH = 1_000_000, 8_000_000
 #: Occurrences of a segment within a chunk that travel with it.
 FEW = 4
 #: Bytes of input files for each shard, and least number of shards.
-SHARD_BYTES, LEAST_SHARDS = 2_000_000, 8
+SHARD_BYTES, LEAST_SHARDS = 3_000_000, 8
+#: Tokens that a shard solves at a time.
+PIECE = 150_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -261,18 +263,18 @@ class Shard:
         parts, at = [], 0
         while blobs:  # part by part: hashes need many times the room of the tokens
             raw, size, core, times, doc, offset, crowd_least, crowd_meet = unpack(blobs.pop())
-            token, begin, count, same, marks, owner = self.hashed(raw, size, core)
+            token, begin, count, same, marks, owner, anchor = self.hashed(raw, size, core)
             crowd = times == 0
             least, meet = np.empty(len(size), np.int64), np.full(len(size), -1, np.int64)
             least[crowd], meet[crowd] = crowd_least, crowd_meet
             if len(doc):
                 least[~crowd] = np.minimum.reduceat(doc, (np.cumsum(times) - times)[~crowd])
-            parts.append((token, begin + at, count, core, same, marks, owner, least, meet, times, doc, offset))
+            parts.append((token, begin + at, count, core, same, marks, owner, least, meet, times, doc, offset, anchor))
             at += len(token)
         first_of = np.cumsum([0, *(len(p[1]) for p in parts)])
         token, begin, count, core, same, marks = (np.concatenate([p[i] for p in parts]) for i in range(6))
         owner = np.concatenate([p[6] + n for p, n in zip(parts, first_of, strict=False)])
-        least, meet, times, doc, offset = (np.concatenate([p[i] for p in parts]) for i in range(7, 12))
+        least, meet, times, doc, offset, anchor = (np.concatenate([p[i] for p in parts]) for i in range(7, 13))
         size = count
         del parts
         # One text, one segment.
@@ -302,8 +304,15 @@ class Shard:
         if not keep.any():
             return
         b, c = begin[head][keep], count[head][keep]
-        found = self.solve(token[ragged(b, c)], np.cumsum(c) - c, c, core[head][keep].astype(np.int64), low[keep])
         windows = c - length + 1
+        # Segments with different anchors have no window in common: small pieces stay within the processor's caches.
+        piece = (anchor[head][keep] % np.uint64(max(1, int(c.sum()) // PIECE))).astype(np.int64)
+        order = np.argsort(piece, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(piece[order]) != 0, [True]]))
+        place, found = np.cumsum(windows) - windows, np.empty(int(windows.sum()), np.int64)
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            m = order[i:j]
+            found[ragged(place[m], windows[m])] = self.solve(token[ragged(b[m], c[m])], np.cumsum(c[m]) - c[m], c[m], core[head][keep][m].astype(np.int64), low[keep][m])
         first = np.full(len(head), -1, np.int64)
         first[keep] = np.cumsum(windows) - windows
         width = np.zeros(len(head), np.int64)
@@ -319,7 +328,7 @@ class Shard:
             yield s, 3, pack(same[m], w, found[ragged(first[group[m]], w)])
 
     def hashed(self, raw: np.ndarray, size: np.ndarray, core: np.ndarray) -> tuple:
-        """(tokens, starts, counts, hashes of the segments, marks, whose they are) of one part.
+        """(tokens, starts, counts, hashes of the segments, marks, whose they are, hashes of the anchors) of one part.
 
         A mark is a hash of what a match shares with its twin whatever else it has: the anchor's gram
         for words, for bytes each stretch of six letters at the anchor's alignment.
@@ -332,14 +341,16 @@ class Shard:
             token = span_hashes(_BYTE[spaced], a, z)
             begin = np.searchsorted(a, start)
             count = np.append(begin[1:], len(a)) - begin
-            return token, begin, count, span_hashes(token, begin, begin + count), rolling(token, self.cutter.gram)[begin + core], np.arange(len(size))
+            anchor = rolling(token, self.cutter.gram)[begin + core]
+            return token, begin, count, span_hashes(token, begin, begin + count), anchor, np.arange(len(size)), mix64(anchor)
         begin, count = np.cumsum(size) - size, size.astype(np.int64)
         value, w = _BYTE[raw], WIDE * LETTERS
         lead = core % WIDE
         n = np.maximum((count - lead - w) // WIDE + 1, 0)
         at = np.repeat(begin + lead, n) + WIDE * ragged(np.zeros(len(n), np.int64), n)
-        both = span_hashes(value, np.concatenate([begin, at]), np.concatenate([begin + count, at + w]))
-        return raw, begin, count, both[: len(begin)], both[len(begin) :], np.repeat(np.arange(len(size)), n)
+        k, a = len(begin), begin + core
+        three = span_hashes(value, np.concatenate([begin, a, at]), np.concatenate([begin + count, a + self.cutter.gram, at + w]))
+        return raw, begin, count, three[:k], three[2 * k :], np.repeat(np.arange(len(size)), n), three[k : 2 * k]
 
 
 #: Letters of the suffix arrays over bytes: so many bytes make a letter, so many letters a comparison.
