@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, loose
 
 
 def _state(edges: DataFrame):
@@ -14,7 +14,7 @@ def _state(edges: DataFrame):
 
 def _least(sides: DataFrame) -> DataFrame:
     """u, v with m, the least of u and all its neighbours; a join that AQE can split, not a window, so that hubs don't gather in a task."""
-    return sides.join(sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u")
+    return sides.join(loose(sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u"), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, map_rows, mix64, rolling, table, tune
+from .common import durable, loose, map_rows, mix64, rolling, table, tune
 from .graph import components
 from .windows import _BYTE, ragged, span_hashes, word_bounds
 
@@ -208,13 +208,13 @@ def classes(docs: DataFrame, recall: float = RECALL, rows: int = ROWS, id_col: s
     # Stars of the band buckets.
     banded = known.select(F.explode("bands").alias("band"), "node").distinct()
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub != other").select("band", "hub")
-    stars = banded.join(hubs, "band").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    stars = banded.join(loose(hubs, "band"), "band").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     found = durable(components(stars))
     # Blocks of the components.
     held = found.join(nodes, "node")
     k = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("grams") / BLOCK_GRAMS), F.lit(1)).cast("int")
     parts = held.groupBy("component").agg(k.alias("k"))
-    dealt = held.join(parts, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    dealt = held.join(loose(parts, "component"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     members = dealt.select("component", "node", "copies", F.col("rep").alias("doc_id"), "block", "k").join(rows_of, "doc_id")
     members = members.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     members = members.select("component", F.least("block", "_with").alias("first"), F.greatest("block", "_with").alias("second"), "block", "node", "copies", "text")
@@ -223,7 +223,7 @@ def classes(docs: DataFrame, recall: float = RECALL, rows: int = ROWS, id_col: s
     roots = components(told.select(F.col("node").alias("a"), F.col("root").alias("b")))
     joined = nodes.join(links, "node", "left").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("rep").alias("class_id"))
-    info = joined.join(least, "component").select("node", "check", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    info = joined.join(loose(least, "component"), "component").select("node", "check", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     ids = sigs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "check")
     return ids.join(info, ["node", "check"], "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

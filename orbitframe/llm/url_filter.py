@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import loose, table
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: A segment is a wildcard if its place has more than so many values, with fewer pages each than PAGES_EACH.
@@ -59,7 +59,7 @@ def template_tree(parsed: DataFrame) -> DataFrame:
     values = places.groupBy("host", "place", "above", "segment").agg(F.sum("n").alias("n"))
     wide = values.groupBy("host", "place", "above").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("pages"))
     wide = wide.where((F.col("values") > VALUES) & (F.col("pages") < PAGES_EACH * F.col("values"))).select("host", "place", "above", F.lit(True).alias("wide"))
-    named = places.join(wide, ["host", "place", "above"], "left").groupBy("host", "raw").agg(
+    named = places.join(loose(wide, "host", "above"), ["host", "place", "above"], "left").groupBy("host", "raw").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("wide"), F.lit("*")).otherwise(F.col("segment")).alias("s")))), lambda x: x["s"]), "/").alias("template")
     )
     known = leaves.select("host", "raw", "labelled", "bad").join(named, ["host", "raw"])
@@ -70,7 +70,7 @@ def template_tree(parsed: DataFrame) -> DataFrame:
     nodes = chains.groupBy("host", "depth", "node").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     prior = templates.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2.0)).alias("prior"))
     nodes = nodes.crossJoin(F.broadcast(prior))  # one row: the share over all hosts
-    chained = chains.select("host", "template", "depth", "node").join(nodes, ["host", "depth", "node"]).groupBy("host", "template").agg(
+    chained = chains.select("host", "template", "depth", "node").join(loose(nodes, "host", "node"), ["host", "depth", "node"]).groupBy("host", "template").agg(
         F.array_sort(F.collect_list(F.struct("depth", "labelled", "bad", "prior"))).alias("chain")
     )
     shares = chained.select("host", "template", F.aggregate("chain", F.col("chain")[0]["prior"], _smooth).alias("share"))
