@@ -37,6 +37,8 @@ CHUNK, FLUSH = 1_000_000, 8_000_000
 FEW = 4
 #: Bytes of input files for each shard, and least number of shards.
 SHARD_BYTES, LEAST_SHARDS = 3_000_000, 8
+#: Texts of the sample that common grams are counted in, and most common grams.
+SAMPLE, COMMON = 1_000, 4_096
 #: Tokens that a shard solves at a time.
 PIECE = 150_000
 _BASE = 0x9E3779B97F4A7C15
@@ -104,10 +106,17 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def anchored(grams: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first, last) of the runs of windows with one anchor.  valid: where a window starts."""
+def anchored(grams: np.ndarray, valid: np.ndarray, width: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first, last) of the runs of windows with one anchor.  valid: where a window starts; common: grams that come last."""
     n = len(valid)
-    low = (mix64(grams) >> np.uint64(31)) << np.uint64(31) | (np.uint64((1 << 31) - 1) - np.arange(len(grams), dtype=np.uint64))
+    rank = mix64(grams) >> np.uint64(1)
+    if len(common):
+        seen = np.zeros(1 << 16, bool)
+        seen[_slot(common)] = True
+        at = np.flatnonzero(seen[_slot(grams)])
+        at = at[np.isin(grams[at], common)]
+        rank[at] |= np.uint64(1 << 63)
+    low = (rank >> np.uint64(31)) << np.uint64(31) | (np.uint64((1 << 31) - 1) - np.arange(len(grams), dtype=np.uint64))
     size = 1
     while size < width:
         step = min(size, width - size)
@@ -123,11 +132,16 @@ def anchored(grams: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarr
     return own[first], at[first], at[np.append(first[1:], len(at)) - 1]
 
 
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (grams * np.uint64(_BASE)) >> np.uint64(48)
+
+
 class Cutter:
     """Cuts chunks of texts into segments of bytes or words."""
 
     def __init__(self, length: int, gram: int, words: bool, shards: int):
         self.length, self.gram, self.words, self.shards = length, gram, words, shards
+        self.common = np.empty(0, np.uint64)
 
     def cut(self, ids: np.ndarray, base: np.ndarray, rows: list[bytes]) -> tuple[np.ndarray, ...]:
         """(bytes of the rows, and for each segment its shard, hash, first byte, bytes, anchor's token, id, place in its row)."""
@@ -148,11 +162,12 @@ class Cutter:
         valid = np.zeros(len(token) - self.length + 1, bool)
         valid[ragged(row_from, windows)] = True
         grams = rolling(token, self.gram)
-        anchor, a, last = anchored(grams, valid, self.length - self.gram + 1)
+        anchor, a, last = anchored(grams, valid, self.length - self.gram + 1, self.common)
         z = last + self.length  # tokens [a, z) hold the windows that start at a ... last
         shard = (mix64(grams[anchor] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(self.shards)).astype(np.int64)
         row = np.searchsorted(row_from, a, side="right") - 1
         start, end = (first[a], stop[z - 1]) if self.words else (a, z)
+        self.last_grams = grams[anchor]
         return raw, shard, span_hashes(token, a, z), start, end - start, anchor - a, ids[row], a - row_from[row] + base[row]
 
     def send(self, parts: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int, bytes]]:
@@ -197,6 +212,25 @@ def shard_count(df: DataFrame) -> int:
     return max(LEAST_SHARDS, min(size // SHARD_BYTES, 1 << 24))
 
 
+def common_grams(docs: DataFrame, cutter: Cutter) -> np.ndarray:
+    """Grams that would anchor too many different segments for one shard, by a sample of SAMPLE texts; at most COMMON of them.
+
+    They anchor a window only if it has no other gram.  The list is one for all tasks, so equal windows still have equal
+    anchors, whatever it holds: the sample decides how even the shards are, never what is found.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, text in texts_of(batches):
+            got = cutter.cut(np.zeros(1, np.int64), np.zeros(1, np.int64), [text])
+            if len(got[1]):
+                yield pa.RecordBatch.from_arrays([pa.array(cutter.last_grams.view(np.int64)), pa.array(got[2].view(np.int64))], ["gram", "same"])
+
+    found = docs.limit(SAMPLE).mapInArrow(run, "gram long, same long").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    top = found.where(F.col("n") > max(8, total // (4 * cutter.shards))).orderBy(F.desc("n"), "gram").limit(COMMON).collect()
+    return np.sort(np.array([r["gram"] for r in top], np.int64).view(np.uint64))
+
+
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, bytes]]:
     for batch in batches:
         for i, b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), pc.cast(batch.column(2), pa.binary()), strict=True):
@@ -393,6 +427,7 @@ Finish = Callable[[bytes, np.ndarray], tuple]
 def judged(docs: DataFrame, cutter: Cutter, solve: Solver, finish: Finish, schema: str) -> DataFrame:
     """A row for each of docs(doc_id, base, text): doc_id and what `finish` makes of the text and the stretches in it that go."""
     docs = docs.select("doc_id", "base", "text")
+    cutter.common = common_grams(docs.where("doc_id is not null"), cutter)
     shard = Shard(cutter, solve)
     homes = max(LEAST_SHARDS, cutter.shards // 4)
     fields = to_arrow_schema(T._parse_datatype_string(schema))

@@ -80,6 +80,27 @@ def corpus(seed):
     return rows + [(i, t) for i, t in ODD if len(t or "") < 1000]
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_common_grams_change_shards_but_not_results(table, words):
+    module = fm_dedup if words else suffix_dedup
+    rows = corpus(4)
+    docs = windows.numbered(table(rows), "doc_id", "text").select("doc_id", "base", "text")
+    cutter = windows.Cutter(module.LENGTH, module.GRAM, words, 4)
+    ids, base, texts = np.arange(len(rows)), np.zeros(len(rows), np.int64), [(t or "").encode() for _, t in rows]
+    cutter.cut(ids, base, texts)
+    cutter.common = np.unique(cutter.last_grams)[::2]  # every other anchor is common: equal windows still get equal anchors
+    columns = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string" if words else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    forced, found = cutter.common, windows.common_grams
+    try:
+        windows.common_grams = lambda *_: forced
+        got = windows.judged(docs, cutter, module.solve, module.finish, columns).collect()
+    finally:
+        windows.common_grams = found
+    want = sorted(((i, n, g, h) for i, n, g, _, h in plain_dedup(rows, module.LENGTH, words)), key=repr)
+    assert sorted(((r[0], r[1], r[2], r["kept_sha256"]) for r in got), key=repr) == want
+    assert isinstance(windows.common_grams(docs, cutter), np.ndarray)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize(("module", "words"), [(suffix_dedup, False), (fm_dedup, True)])
 def test_window_dedup(table, monkeypatch, seed, module, words):
