@@ -94,7 +94,7 @@ def shuffled(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shuffled(mix(table(spark, sf_dir, "documents"), WEIGHTS))
+    return shuffled(mix(table(spark, sf_dir, "documents"), WEIGHTS)).withColumn("mix_rate", F.round("mix_rate", 9))
 
 
 def mix_sql(source: str, epochs: float = 1.0, default: float = 1.0) -> str:
@@ -118,7 +118,7 @@ drawn AS (
     len(list_filter(t.totals, lambda c: c < ((('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496)) AS k
   FROM docs d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT * EXCLUDE (k, mix_copy), mix_copy::INT AS mix_copy, md5(concat_ws(':', '{SEED}', 'order', doc_id::VARCHAR, mix_copy::VARCHAR)) AS mix_order
+SELECT * EXCLUDE (k, mix_copy) REPLACE (round(mix_rate, 9) AS mix_rate), mix_copy::INT AS mix_copy, md5(concat_ws(':', '{SEED}', 'order', doc_id::VARCHAR, mix_copy::VARCHAR)) AS mix_order
 FROM (SELECT *, unnest(range(1, k + 1)) AS mix_copy FROM drawn WHERE k > 0)
 """
 
