@@ -60,31 +60,31 @@ def mix(
     over the sources that occur; a source of weight 0 goes.  A null source is a source of its own with
     the default weight.  Rows with the same id share their draw; null ids count as an empty id.  Texts
     aren't looked at.  An empty table gives an empty one.  Columns of docs that have one of the three
-    new names are replaced.
+    new names are replaced; columns named _mix_... are left out.
     """
     if default < 0 or any(w < 0 for w in weights.values()):
         raise ValueError("weights can't be negative")
-    docs = docs.drop("mix_copy", "mix_rate", "mix_order")
+    docs = docs.drop("mix_copy", "mix_rate", "mix_order", *[c for c in docs.columns if c.startswith("_mix_")])
     key = F.col(source_col)
     weight = F.lit(float(default))
     for name, value in weights.items():
         weight = F.when(key == name, F.lit(float(value))).otherwise(weight)
-    counts = docs.groupBy(key.alias("_source")).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = counts.select(F.col("_source").alias(source_col), "_n").withColumn("_w", weight)
-    total = wanted.agg(F.sum("_n").alias("_all"), F.sum("_w").alias("_sum"))
+    counts = docs.groupBy(key.alias("_mix_source")).agg(F.count(F.lit(1)).alias("_mix_n"))
+    wanted = counts.select(F.col("_mix_source").alias(source_col), "_mix_n").withColumn("_mix_w", weight)
+    total = wanted.agg(F.sum("_mix_n").alias("_mix_all"), F.sum("_mix_w").alias("_mix_sum"))
     rates = wanted.join(F.broadcast(total))  # one row: the totals
     rates = rates.select(
-        F.col(source_col).alias("_source"),
-        F.when(F.col("_sum") > 0, F.lit(float(epochs)) * F.col("_all") * F.col("_w") / F.col("_sum") / F.col("_n")).otherwise(F.lit(0.0)).alias("mix_rate"),
-    ).withColumn("_cdf", poisson_table(F.col("mix_rate")))
+        F.col(source_col).alias("_mix_source"),
+        F.when(F.col("_mix_sum") > 0, F.lit(float(epochs)) * F.col("_mix_all") * F.col("_mix_w") / F.col("_mix_sum") / F.col("_mix_n")).otherwise(F.lit(0.0)).alias("mix_rate"),
+    ).withColumn("_mix_cdf", poisson_table(F.col("mix_rate")))
     rates = durable(rates)
-    numbers = rates.agg(F.coalesce(F.sum(F.size("_cdf") + 4), F.lit(0)).alias("n")).first()["n"]
+    numbers = rates.agg(F.coalesce(F.sum(F.size("_mix_cdf") + 4), F.lit(0)).alias("n")).first()["n"]
     if numbers <= BROADCAST_NUMBERS:
         rates = F.broadcast(rates)
     draw = uniform(seed, F.col(id_col))
-    met = docs.join(rates, key.eqNullSafe(F.col("_source"))).withColumn("_u", draw)
-    counted = met.withColumn("_k", F.size(F.filter("_cdf", lambda c: c < F.col("_u")))).where(F.col("_k") > 0)
-    copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_source", "_cdf", "_u", "_k")
+    met = docs.join(rates, key.eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", draw)
+    counted = met.withColumn("_mix_k", F.size(F.filter("_mix_cdf", lambda c: c < F.col("_mix_u")))).where(F.col("_mix_k") > 0)
+    copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_k")))).drop("_mix_source", "_mix_cdf", "_mix_u", "_mix_k")
     return copies.withColumn("mix_order", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col(id_col).cast("string"), F.col("mix_copy").cast("string"))))
 
 
