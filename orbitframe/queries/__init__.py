@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import catalog, cubes, misc, rasters, sites
+from . import catalog, cubes, misc, rasters, sites, views
 
-MODULES = (sites, catalog, cubes, rasters, misc)
+MODULES = (sites, catalog, cubes, rasters, misc, views)
 _DATES = ("acq_date", "first", "last", "first_date", "last_date", "day")
 _DATED = {
     **{name: ("acq_date",) for name in catalog.REGISTERED if name.startswith(("search", "lookup", "resolve", "frames"))},
