@@ -28,7 +28,7 @@ WORDS = 5
 THRESHOLD = (4, 5)
 RECALL, ROWS = 0.999, 6
 #: Nodes and n-grams that a block of a large component has about.
-BLOCK_NODES, BLOCK_GRAMS = 1_000, 1_000_000
+BLOCK_NODES, BLOCK_GRAMS = 400, 1_000_000
 #: Columns of a piece of the incidence matrix.
 COLUMNS = 2_048
 
