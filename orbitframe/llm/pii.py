@@ -25,10 +25,12 @@ from .common import durable, map_rows, table, texts, tune
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("address", "number", "person")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: No match begins within a run of digits, so starts are tried once a run, however long it is.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]?(?:@| at )[\])]? ?[A-Za-z0-9-]+ ?[\[(]?(?: dot |\.)[\])]? ?[A-Za-z]{2,6}")
+SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]?(?:@| at )[\])]? ?[A-Za-z0-9-]+ ?[\[(]?(?: dot |\.)[\])]? ?[A-Za-z]{2,6}")
 NUMBER = re.compile(r"(?<![0-9.])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{2,3}[-. ][0-9]{4}(?![0-9])")
 #: Gazetteers: given names, honorifics before names, cue words before data, and words that deny it.
 GIVEN = frozenset("James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Thomas Susan Sarah Anna Maria Jose Juan Carlos Lucia Carmen Pierre Jean Marie Claire Hans Peter Klaus Ingrid Sabine Wolfgang".split())
@@ -64,11 +66,26 @@ def valid(kind: str, text: str) -> bool:
     return True
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """The leftmost non-overlapping matches of EMAIL, sought from each @ on, so that long runs without one cost nothing."""
+    out, end = [], 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := EMAIL.match(text, start)):
+            out.append((start, m.end()))
+            end = m.end()
+        at = text.find("@", max(at + 1, end))
+    return out
+
+
 def matches(text: str) -> list[tuple[str, int, int, bool]]:
     """All leftmost non-overlapping matches by kind, with whether each passes."""
     out = []
     if "@" in text:
-        out += [("email", m.start(), m.end(), True) for m in EMAIL.finditer(text)]
+        out += [("email", a, z, True) for a, z in emails(text)]
     if DIGIT.search(text):
         for kind, pattern in (("ip", IP), ("card", CARD), ("phone", PHONE)):
             if kind != "phone" or "+" in text:

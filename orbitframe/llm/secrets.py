@@ -44,6 +44,11 @@ def vocabulary(path: str):
     return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
+def tokens(run: str, path: str) -> int:
+    """Tokens of a run, encoded in stretches of 256 characters: a single piece's cost grows faster than its length."""
+    return sum(len(vocabulary(path).encode_ordinary(run[i : i + 256])) for i in range(0, len(run), 256))
+
+
 def known(run: str) -> bool:
     """Digests, UUIDs, plain numbers, and identifiers whose parts are words or numbers."""
     if UUID.fullmatch(run) or run.isdigit() or (len(run) in DIGESTS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run)):
@@ -67,7 +72,7 @@ def random_spans(text: str, path: str, ratio: float) -> list[tuple[str, int, int
     for m in RUN.finditer(text):
         run = m[0]
         mixed = any(c.isdigit() for c in run) or (run != run.lower() and run != run.upper() and not run.istitle())
-        if mixed and not known(run) and len(run) < ratio * len(vocabulary(path).encode_ordinary(run)):
+        if mixed and not known(run) and len(run) < ratio * tokens(run, path):
             out.append(("random", m.start(), m.end()))
     return out
 
