@@ -22,7 +22,7 @@ from .common import table, tune
 from .windows import LETTERS, WIDE, Cutter, judged, numbered, ragged, shard_count
 
 LENGTH = 50
-GRAM = 12
+GRAM = 8
 
 
 def suffix_array(text: list[int]) -> list[int]:

@@ -37,8 +37,8 @@ CHUNK, FLUSH = 1_000_000, 8_000_000
 FEW = 4
 #: Bytes of input files for each shard, and least number of shards.
 SHARD_BYTES, LEAST_SHARDS = 3_000_000, 8
-#: Texts of the sample that common grams are counted in, and most common grams.
-SAMPLE, COMMON = 1_000, 4_096
+#: Texts of the sample that common grams are counted in, bytes of each at most, and most common grams.
+SAMPLE, SAMPLE_BYTES, COMMON = 500, 8_000, 4_096
 #: Tokens that a shard solves at a time.
 PIECE = 150_000
 _BASE = 0x9E3779B97F4A7C15
@@ -92,7 +92,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         y = x - low
         y = y.astype(np.min_scalar_type(int(y.max())))
         out.append((np.ascontiguousarray(y.view(np.uint8).reshape(len(y), -1).T), low, x.dtype.str))
-    return zstandard.compress(pickle.dumps(out, 5), 3)
+    return zstandard.compress(pickle.dumps(out, 5), 5)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -218,17 +218,16 @@ def common_grams(docs: DataFrame, cutter: Cutter) -> np.ndarray:
     They anchor a window only if it has no other gram.  The list is one for all tasks, so equal windows still have equal
     anchors, whatever it holds: the sample decides how even the shards are, never what is found.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, text in texts_of(batches):
-            got = cutter.cut(np.zeros(1, np.int64), np.zeros(1, np.int64), [text])
-            if len(got[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(cutter.last_grams.view(np.int64)), pa.array(got[2].view(np.int64))], ["gram", "same"])
-
-    found = docs.limit(SAMPLE).mapInArrow(run, "gram long, same long").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    top = found.where(F.col("n") > max(8, total // (4 * cutter.shards))).orderBy(F.desc("n"), "gram").limit(COMMON).collect()
-    return np.sort(np.array([r["gram"] for r in top], np.int64).view(np.uint64))
+    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").limit(SAMPLE).collect()  # SAMPLE * SAMPLE_BYTES at most
+    if not rows:
+        return np.empty(0, np.uint64)
+    zeros = np.zeros(len(rows), np.int64)
+    same = cutter.cut(zeros, zeros, [r["text"].encode() for r in rows])[2]
+    if not len(same):
+        return np.empty(0, np.uint64)
+    grams, n = np.unique(cutter.last_grams[np.unique(same, return_index=True)[1]], return_counts=True)
+    often = np.flatnonzero(n > max(8, int(n.sum()) // (4 * cutter.shards)))
+    return np.sort(grams[often[np.argsort(-n[often], kind="stable")[:COMMON]]])
 
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, bytes]]:
