@@ -26,7 +26,7 @@ FROM o FULL JOIN n ON o.href = n.href"""
 
 
 def _thumbs(spark, sf_dir):
-    a = acquisitions(spark, sf_dir).where("event_id < 3000")
+    a = acquisitions(spark, sf_dir)
     k = F.col("event_id")
     mine = a.select("href", F.when(k % 4 != 0, F.col("href").cast("binary")).alias("thumbnail"), F.when(k % 4 != 0, F.lit("GEC")).alias("thumb_asset"), F.when(k % 4 != 0, (k % 100).cast("int")).alias("thumb_size"))
     inc = a.where("event_id % 2 = 0").select("href", F.concat(F.lit("new "), "href").cast("binary").alias("png"), F.when(k % 6 == 0, "CSI").otherwise("GEC").alias("asset"), F.lit(50).alias("size"))
@@ -98,7 +98,7 @@ def _utm(spark, sf_dir):
 
 
 def _dem(spark, sf_dir):
-    a = acquisitions(spark, sf_dir).where("event_id < 500")
+    a = acquisitions(spark, sf_dir)
     return a.select("href", F.explode(geo.dem_tile_ids(F.col("min_lon"), F.col("min_lat"), F.col("max_lon"), F.col("max_lat"))).alias("tile"))
 
 
@@ -156,7 +156,7 @@ _PREFLIGHT = """v AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 = 0 THEN
 
 def _documents(spark, sf_dir):
     """STAC documents made from events and read back."""
-    a = acquisitions(spark, sf_dir).where("event_id < 2000")
+    a = acquisitions(spark, sf_dir)
     k = F.col("event_id")
     asset = lambda h, t: F.struct(h.alias("href"), F.lit(t).alias("type"), F.lit(None).cast("string").alias("title"), F.lit("made").alias("description"))
     assets = F.when(k % 3 == 0, F.create_map(F.lit("x_GEC.tif"), asset(F.lit("a.tif"), "image/tiff"), F.lit("x_CSI.tif"), asset(F.lit("b.tif"), "image/tiff"))).otherwise(F.create_map(F.lit("x_SICD.nitf"), asset(F.lit("c.nitf"), "application/nitf"), F.lit("x_METADATA.json"), asset(F.lit("m.json"), "application/json")))
@@ -204,11 +204,11 @@ def _daily(spark, sf_dir):
 
 
 def _tiles(spark, sf_dir):
-    return tiles.encode_tiles(acquisitions(spark, sf_dir).where("event_id < 300"), 7, "footprints", ["task", "incidence"]).select("zoom", "x", "y", "tile_id", "sha256")
+    return tiles.encode_tiles(acquisitions(spark, sf_dir), 7, "footprints", ["task", "incidence"]).select("zoom", "x", "y", "tile_id", "sha256")
 
 
 def _tile_counts(spark, sf_dir):
-    return tiles.tile_ids(acquisitions(spark, sf_dir).where("event_id < 2000 and min_lat > -80"), 7).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return tiles.tile_ids(acquisitions(spark, sf_dir), 7).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
 _LAT = "least(85.05112878::DOUBLE, greatest(-85.05112878::DOUBLE, {lat}))"
