@@ -104,7 +104,7 @@ def _dem(spark, sf_dir):
 
 def _sources(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem")
-    return li.where("l_orderkey < 600").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item_id"), F.col("l_shipdate").alias("ts"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("calibration"), F.when(F.col("l_returnflag") != "A", F.col("l_linestatus")).alias("speckle"))
+    return li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item_id"), F.col("l_shipdate").alias("ts"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("calibration"), F.when(F.col("l_returnflag") != "A", F.col("l_linestatus")).alias("speckle"))
 
 
 def _groups(spark, sf_dir):
@@ -117,7 +117,7 @@ def _conflicts(spark, sf_dir):
 
 
 def _chips(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    li = read(spark, sf_dir, "lineitem")
     return li.select(
         F.col("l_orderkey").alias("item_id"), (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("seq"), F.col("l_returnflag").alias("noise_model"), (F.col("l_quantity") / 2).alias("margin_db"), "l_discount",
         F.col("l_discount").alias("floored"), (F.col("l_quantity") % 7).alias("before"), (F.col("l_quantity") % 11).alias("after"), F.col("l_quantity").alias("window_pixels"), F.col("l_extendedprice").alias("scene_pixels"),

@@ -20,6 +20,7 @@ def far(spark, tmp_path_factory):
     """Rows of the test tables with large ids only."""
     d = tmp_path_factory.mktemp("far")
     spark.read.parquet(f"{SF}/events.parquet").where(f"event_id between {FAR} and {FAR + 59}").coalesce(1).write.parquet(f"{d}/events.parquet")
+    spark.read.parquet(f"{SF}/lineitem.parquet").where(f"l_orderkey between {FAR} and {FAR + 59}").coalesce(1).write.parquet(f"{d}/lineitem.parquet")
     return str(d)
 
 
@@ -44,6 +45,11 @@ def test_events_are_read_whole(spark, far, name):
     assert same(name, spark, far)
 
 
+@pytest.mark.parametrize("name", ["provenance_groups", "provenance_conflicts", "chip_noise_summary", "chip_speckle_summary", "chip_clip_summary"])
+def test_lines_are_read_whole(spark, far, name):
+    assert same(name, spark, far)
+
+
 def test_vector_tiles_are_whole(spark, far):
     at = {}
     for r in acquisitions(spark, far).orderBy("href").collect():
