@@ -1,10 +1,13 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Each benchmark item is cut into pieces of PIECE characters that overlap by half.  A text region within
-k edits of a piece of m characters shares at least m + 1 - q * (k + 1) character q-grams with it, all of
-them within k diagonals of each other (the q-gram lemma).  So every text is scanned once: q-gram hashes
-of the whole text meet a hash table of the benchmark's, hits are counted in overlapping diagonal bands
-of each piece, bands that reach the bound are retained, and each is verified by a banded alignment.
+The pieces of a benchmark item are its PIECE characters from every character on (a shorter item is one
+piece).  A text region within k edits of a piece of m characters shares at least m + 1 - q * (k + 1)
+character q-grams with it, all of them within k diagonals of each other (the q-gram lemma).  So every text
+is scanned once: q-gram hashes of the whole text meet a hash table of the benchmark's, hits are counted
+in overlapping diagonal bands of each item, the pieces that reach the bound in a band are retained, and
+each is verified by a banded alignment.  Pieces too short for a bound are sought by their two ends, one of
+which an edit leaves whole.  WORDS words on end of an item are found verbatim, even where they are
+shorter than a piece: they are a run of hits on one diagonal.
 
 The benchmark is the query set.  It is read in blocks whose characters are counted first, and each block
 of at most BLOCK_CHARS is sent to the executors once, whatever the benchmark's size.  Texts never move.
@@ -24,6 +27,10 @@ from .common import map_rows, rolling, table, texts, tune
 
 Q = 10
 PIECE = 64
+#: Words of an item on end that are a passage, however few their characters.
+WORDS = 13
+#: Length of the ends by which pieces without a bound are sought.
+END = 8
 #: Edits allowed in a piece, as a share of its characters.
 EDIT_SHARE = 0.0625
 #: Bound on the characters of a block of the benchmark that is sent to the executors.
@@ -47,6 +54,16 @@ def bound(m: int) -> int:
     return m + 1 - Q * (budget(m) + 1)
 
 
+def passages(c: np.ndarray) -> np.ndarray:
+    """For each place, the least end of WORDS whole words on end from there or further on; too large if there are none."""
+    out = np.full(len(c) + 1, 1 << 40, np.int64)
+    inner = np.concatenate([[False], c != 32, [False]])
+    start, stop = np.flatnonzero(inner[1:] & ~inner[:-1]), np.flatnonzero(~inner[1:] & inner[:-1])
+    if len(start) >= WORDS:
+        out[start[: len(start) - WORDS + 1]] = stop[WORDS - 1 :]
+    return np.minimum.accumulate(out[::-1])[::-1]
+
+
 class Pieces:
     """The q-gram table of a block of items."""
 
@@ -56,17 +73,19 @@ class Pieces:
             c = code_points(text or "")
             if len(c) < Q or (c == 32).all():
                 continue
-            m = min(PIECE, len(c))
-            for s in sorted({*range(0, len(c) - m + 1, max(1, PIECE // 2)), len(c) - m}):
-                self.item.append(item_id)
-                self.chars.append(c[s : s + m])
-        self.size = np.array([len(c) for c in self.chars], np.int64)
+            self.item.append(item_id)
+            self.chars.append(c)
+        lengths = np.array([len(c) for c in self.chars], np.int64)
+        self.size = np.minimum(lengths, PIECE)
         self.k = np.array([budget(m) for m in self.size], np.int64)
         self.need = np.array([bound(m) for m in self.size], np.int64)
-        grams = [rolling(c, Q) for c in self.chars]
+        self.reach = [passages(c) for c in self.chars]
+        self.base = int(lengths.max()) + PIECE if len(lengths) else 0
+        long = np.flatnonzero(self.need > 0)
+        grams = [rolling(self.chars[i], Q) for i in long]
         counts = np.array([len(g) for g in grams], np.int64)
         h = np.concatenate([*grams, np.empty(0, np.uint64)])
-        piece = np.repeat(np.arange(len(grams)), counts)
+        piece = np.repeat(long, counts)
         offset = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
         order = np.argsort(h, kind="stable")
         self.hashes, self.first, self.times = np.unique(h[order], return_index=True, return_counts=True)
@@ -74,8 +93,13 @@ class Pieces:
         self.bits = max(16, int(len(h) * 32).bit_length())
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self._slot(self.hashes)] = True
-        self.least = int(self.need.min()) if len(self.need) else 0
-        self.widest = int((self.size + self.k).max()) if len(self.size) else 0
+        self.least = min(int(self.need[long].min()), 2 * WORDS - Q) if len(long) else 0  # the latter for WORDS words of one letter
+        self.widest = int((self.size + self.k)[long].max()) if len(long) else 0
+        self.ends: dict[int, list[tuple[int, int]]] = {}
+        for i in np.flatnonzero(self.need <= 0).tolist():
+            for at in (0, len(self.chars[i]) - END):
+                self.ends.setdefault(int(rolling(self.chars[i][at : at + END], END)[0]), []).append((i, at))
+        self.end_hashes = np.array(list(self.ends), np.uint64)
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
@@ -105,19 +129,33 @@ def align(pattern: np.ndarray, sizes: np.ndarray, text: np.ndarray, free: bool)
 
 
 def search(text: np.ndarray, p: Pieces) -> list[tuple]:
-    """(item, start, end, edits) of the regions of one text that match a piece within its budget."""
-    if not len(p.hashes) or len(text) < Q:
+    """(item, start, end, edits) of the regions of one text that match pieces within their budget, or WORDS words of an item."""
+    whole, todo = _hits(text, p)
+    return merged([*whole, *verify(text, p, todo + _by_ends(text, p))])
+
+
+def _by_ends(text: np.ndarray, p: Pieces) -> list[tuple[int, int, int]]:
+    """(item, 0, first diagonal) of the items without a bound one of whose ends is in the text."""
+    if not p.ends or len(text) < END:
         return []
+    h = rolling(text, END)
+    return [(i, 0, at - off - int(p.k[i])) for at in np.flatnonzero(np.isin(h, p.end_hashes)).tolist() for i, off in p.ends[int(h[at])]]
+
+
+def _hits(text: np.ndarray, p: Pieces) -> tuple[list[tuple], list[tuple[int, int, int]]]:
+    """Verbatim regions, and the other pieces that reach their bound as (item, start in it, first diagonal less the item's start)."""
+    if not len(p.hashes) or len(text) < Q:
+        return [], []
     h = rolling(text, Q)
     hit = p.seen[p._slot(h)]
     if hit.sum() < p.least:
-        return []
+        return [], []
     # The weakest bound first: no stretch with fewer hits than any piece needs can hold a match.
     total = np.concatenate([[0], np.cumsum(hit)])
     span = min(p.widest, len(h))
     full = total[span:] - total[:-span] >= p.least
     if not full.any():
-        return []
+        return [], []
     edge = np.zeros(len(h) + 1, np.int32)
     at = np.flatnonzero(full)
     np.add.at(edge, at, 1)
@@ -127,54 +165,78 @@ def search(text: np.ndarray, p: Pieces) -> list[tuple]:
     true = (slot < len(p.hashes)) & (p.hashes[np.minimum(slot, len(p.hashes) - 1)] == h[where])
     where, slot = where[true], slot[true]
     if len(where) < p.least:
-        return []
+        return [], []
     times = p.times[slot]
     pos = np.repeat(where, times)
     entry = np.repeat(p.first[slot], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    piece, diagonal = p.piece[entry], pos - p.offset[entry] + PIECE
-    step = p.k[piece] + 1
-    band = diagonal // step
+    item, off = p.piece[entry], p.offset[entry]
+    diagonal = pos - off + p.base
+    whole, runs = [], {}
+    order = np.lexsort((off, diagonal, item))
+    i, d, o = item[order], diagonal[order], off[order]
+    first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (o[1:] != o[:-1] + 1)]))
+    last = np.concatenate([first[1:], [len(o)]]) - 1
+    enough = o[last] - o[first] + Q >= np.minimum(p.size[i[first]], 2 * WORDS - 1)
+    for f, z in zip(first[enough].tolist(), last[enough].tolist(), strict=True):
+        c, a, stop, shift = int(i[f]), int(o[f]), int(o[z]) + Q, int(d[f]) - p.base
+        if (stop - a >= p.size[c] or p.reach[c][a] <= stop) and np.array_equal(text[a + shift : stop + shift], p.chars[c][a:stop]):
+            whole.append((p.item[c], a + shift, stop + shift, 0))
+            runs.setdefault(c, []).append((int(d[f]), a, stop))
     # Bands overlap: band b holds the diagonals [b * step, (b + 2) * step), so each hit counts in two.
-    key = np.concatenate([piece * (1 << 40) + band, piece * (1 << 40) + band - 1])
-    key = key[key >= 0]
-    keys, n = np.unique(key, return_counts=True)
-    which = keys >> 40
-    kept = n >= p.need[which]
-    return verify(text, p, which[kept], (keys[kept] & ((1 << 40) - 1)))
-
-
-def verify(text: np.ndarray, p: Pieces, which: np.ndarray, band: np.ndarray) -> list[tuple]:
-    """Banded alignments of the retained bands, many at once; forwards for the end, backwards for the start."""
-    out, todo = set(), []
-    for w, b in zip(which.tolist(), band.tolist(), strict=True):
-        k, m = int(p.k[w]), int(p.size[w])
-        low = b * (k + 1) - PIECE
-        for d in range(low, low + 2 * (k + 1)):  # no edits: the band's diagonals one by one
-            if 0 <= d <= len(text) - m and text[d] == p.chars[w][0] and np.array_equal(text[d : d + m], p.chars[w]):
-                out.add((p.item[w], d, d + m, 0))
-                break
-        else:
-            todo.append((w, low))
-    for s in range(0, len(todo), 512):
-        part = todo[s : s + 512]
-        size = np.array([p.size[w] for w, _ in part])
-        m, extra = int(size.max()), max(4 * (int(p.k[w]) + 1) for w, _ in part)
+    band = diagonal // (p.k[item] + 1)
+    key, off = np.concatenate([item * (1 << 40) + band, item * (1 << 40) + band - 1]), np.concatenate([off, off])
+    order = np.lexsort((off, key))
+    key, off = key[order], off[order]
+    once = np.concatenate([[True], (key[1:] != key[:-1]) | (off[1:] != off[:-1])])
+    key, off = key[once], off[once]
+    keys, at, n = np.unique(key, return_index=True, return_counts=True)
+    kept = n >= p.need[keys >> 40]
+    todo = []
+    for q, f, n in zip(keys[kept].tolist(), at[kept].tolist(), n[kept].tolist(), strict=True):
+        c, b = q >> 40, q & ((1 << 40) - 1)
+        m, need, step, o = int(p.size[c]), int(p.need[c]), int(p.k[c]) + 1, off[f : f + n]
+        a = np.maximum(o[need - 1 :] - (m - Q), 0)
+        z = np.minimum(o[: n - need + 1], len(p.chars[c]) - m)
+        near = a <= z
+        edge = np.zeros(len(p.chars[c]) - m + 2, np.int64)
+        np.add.at(edge, a[near], 1)
+        np.add.at(edge, z[near] + 1, -1)
+        open_ = np.cumsum(edge[:-1]) > 0
+        for d, start, stop in runs.get(c, ()):
+            if b * step <= d < (b + 2) * step and stop - start >= m:
+                open_[start : stop - m + 1] = False
+        todo += [(c, s, b * step - p.base + s) for s in np.flatnonzero(open_).tolist()]
+    return whole, todo
+
+
+def verify(text: np.ndarray, p: Pieces, todo: list[tuple[int, int, int]]) -> list[tuple]:
+    """Banded alignments of the retained pieces, many at once; forwards for the end, backwards for the start."""
+    out = set()
+    for at in range(0, len(todo), 512):
+        part = todo[at : at + 512]
+        size = np.array([p.size[c] for c, _, _ in part])
+        k = np.array([p.k[c] for c, _, _ in part])
+        m, extra = int(size.max()), 4 * (int(k.max()) + 1)
         pattern, stretch = np.full((len(part), m), 0xFFFFFFFF, np.uint32), np.full((len(part), m + extra), 0xFFFFFFFE, np.uint32)
-        left = np.array([low - (int(p.k[w]) + 1) for w, low in part])
-        for i, (w, _) in enumerate(part):
-            pattern[i, : size[i]] = p.chars[w]
+        left = np.array([low for _, _, low in part]) - (k + 1)
+        for i, (c, s, _) in enumerate(part):
+            pattern[i, : size[i]] = p.chars[c][s : s + size[i]]
             a, z = max(0, left[i]), min(len(text), left[i] + m + extra)
             if z > a:
                 stretch[i, a - left[i] : z - left[i]] = text[a:z]
         best, end = align(pattern, size, stretch, True)
-        for i, (w, _) in enumerate(part):
-            if best[i] <= p.k[w]:
-                stop = int(left[i] + end[i])
-                back = np.full((1, int(size[i]) + extra), 0xFFFFFFFE, np.uint32)
-                a = max(0, stop - back.shape[1])
-                back[0, : stop - a] = text[a:stop][::-1]
-                _, length = align(p.chars[w][::-1][None, :], size[i : i + 1], back, False)
-                out.add((p.item[w], max(0, stop - int(length[0])), stop, int(best[i])))
+        good = np.flatnonzero(best <= k)
+        if not len(good):
+            continue
+        stop = (left + end)[good]
+        pattern, stretch = np.full((len(good), m), 0xFFFFFFFF, np.uint32), np.full((len(good), m + extra), 0xFFFFFFFE, np.uint32)
+        for i, g in enumerate(good.tolist()):
+            c, s, _ = part[g]
+            pattern[i, : size[g]] = p.chars[c][s : s + size[g]][::-1]
+            a = max(0, stop[i] - stretch.shape[1])
+            stretch[i, : stop[i] - a] = text[a : stop[i]][::-1]
+        _, length = align(pattern, size[good], stretch, False)
+        out |= {(p.item[part[g][0]], max(0, int(stop[i] - length[i])), int(stop[i]), int(best[g])) for i, g in enumerate(good.tolist())}
     return sorted(out)
 
 
@@ -224,7 +286,7 @@ def _regions(docs: DataFrame, part: list[tuple], id_col: str, text_col: str) ->
     def run(batch: pa.RecordBatch) -> dict:
         if not cache:
             cache.append(Pieces(held.value))
-        found = [merged(search(code_points(t), cache[0])) for t in texts(batch.column(1))]
+        found = [search(code_points(t), cache[0]) for t in texts(batch.column(1))]
         return {"regions": [[{"item_id": i, "start": a, "stop": z, "edits": e} for i, a, z, e in x] for x in found]}
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -234,8 +296,9 @@ def _regions(docs: DataFrame, part: list[tuple], id_col: str, text_col: str) ->
 def screen(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, contaminated, n_items, n_regions and spans (item:start:end:edits, comma-joined; code points), a row for each of docs.
 
-    Null and empty texts are clean.  Items with fewer than Q characters are left out: they are too
-    short to identify; so are null and blank ones.  An empty benchmark leaves every text clean.  Repeated rows give
+    Null and empty texts are clean.  Found are 60 characters of an item verbatim,
+    64 within 4 edits, WORDS words verbatim, and shorter items as a whole within their budget.  Items with fewer than Q characters
+    are left out: they are too short to identify; so are null and blank ones.  An empty benchmark leaves every text clean.  Repeated rows give
     repeated rows; a benchmark of several blocks groups rows with one id and text.  Columns besides these are left out.
     """
     parts = list(blocks(benchmark, item_col, item_text)) if benchmark is not None else []
@@ -261,7 +324,7 @@ def screen(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, in whose texts no benchmark piece is found."""
+    """The rows of docs, with all their columns, in whose texts no benchmark piece or passage is found."""
     out = docs
     for part in blocks(benchmark, item_col, item_text):
         out = out.where(~_leaks(out, part)(F.col(text_col)))

@@ -96,6 +96,28 @@ def test_decontamination_finds_all_within_the_budget():
             assert not found
 
 
+def test_decontamination_finds_passages_at_any_place():
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghij "))
+    make = lambda n: "".join(rng.choice(letters, n))
+    item = " ".join("".join(rng.choice(letters[:-1], int(rng.integers(1, 9)))) for _ in range(70))
+    short = make(8) + "xyz" + make(7)
+    p = D.Pieces([(1, item), (2, short)])
+    found = lambda doc: {x[0] for x in D.search(D.code_points(doc), p)}
+    words = [(m.start(), m.end()) for m in re.finditer("[^ ]+", item)]
+    for a, z in [(words[i][0], words[i + 12][1]) for i in range(len(words) - 12)]:
+        assert 1 in found(make(40) + " " + item[a:z] + " " + make(40))
+        assert not found(make(40) + item[a : a + 30] + make(40))
+    for s in range(0, len(item) - 64):
+        assert 1 in found(make(30) + item[s : s + 60] + make(30))
+        assert 1 in found(make(30) + spoiled(rng, item[s : s + 64], 4) + make(30))
+    for at in range(len(short)):
+        assert 2 in found(make(30) + short[:at] + "#" + short[at + 1 :] + make(30))
+    tiny = "a b c d e f g h i j k l m"
+    alone = D.Pieces([(3, tiny + " " + "n" * 38)])
+    assert [x[:3] for x in D.search(D.code_points("zz " + tiny + " zz"), alone)] == [(3, 3, 3 + len(tiny) + 1)]
+
+
 def test_decontamination_rows(spark, odd, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog and runs far away from here at once"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "short"), (1, item), (None, "   ")], "item_id long, text string")
