@@ -71,8 +71,7 @@ def random_spans(text: str, path: str, ratio: float) -> list[tuple[str, int, int
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        mixed = any(c.isdigit() for c in run) or (run != run.lower() and run != run.upper() and not run.istitle())
-        if mixed and not known(run) and len(run) < ratio * tokens(run, path):
+        if not known(run) and len(run) < ratio * tokens(run, path):
             out.append(("random", m.start(), m.end()))
     return out
 

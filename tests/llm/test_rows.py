@@ -214,6 +214,17 @@ def test_random_strings(odd):
     assert sorted(r["text"] or "" for r in secrets.mask(odd).collect()) == sorted(t or "" for _, t in ODD)
 
 
+def test_random_strings_of_one_case():
+    import random
+
+    r = random.Random(5)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        runs = ["".join(r.choice(letters) for _ in range(24)) for _ in range(200)]
+        assert sum(bool(secrets.random_spans(f"key {x} end", secrets.VOCABULARY, secrets.MAX_RATIO)) for x in runs) >= 190
+    for plain in ("internationalization-and-localization", "the_configuration_of_international_standards", "ABCDEFABCDEFABCDEFABCDEFABCDEFAB", "-" * 30):
+        assert not secrets.random_spans(plain, secrets.VOCABULARY, secrets.MAX_RATIO), plain
+
+
 def labelled(n, seed=0):
     rng = np.random.default_rng(seed)
     filler, rude = [f"w{i}x" for i in range(80)], ["vilely", "rotters", "scoundrel"]
