@@ -14,9 +14,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, loose, map_rows, mix64, rolling, table, tune
@@ -200,6 +201,11 @@ def classes(docs: DataFrame, recall: float = RECALL, rows: int = ROWS, id_col: s
     other only.  Rows with a null id are left out of the search: class null, no links.  Rows that
     share an id count one by one; if their texts differ, each row has the class of its own text.  Other columns are left out.
     """
+    return _classed(docs, recall, rows, id_col, text_col).select("doc_id", "class_id", "n_links")
+
+
+def _classed(docs: DataFrame, recall: float, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """What classes() returns, with the node and check of each row's text."""
     rows_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     minhash = MinHash(bands_for(THRESHOLD[0] / THRESHOLD[1], recall, rows), rows)
     sigs = durable(signatures(rows_of, minhash))
@@ -225,17 +231,35 @@ def classes(docs: DataFrame, recall: float = RECALL, rows: int = ROWS, id_col: s
     least = joined.groupBy("component").agg(F.min("rep").alias("class_id"))
     info = joined.join(loose(least, "component"), "component").select("node", "check", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     ids = sigs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "check")
-    return ids.join(info, ["node", "check"], "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return ids.join(info, ["node", "check"], "left").select("doc_id", "node", "check", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def node_of(text: Column) -> Column:
+    """node and check of a text, as one string."""
+    @F.pandas_udf("string")
+    def hashed(t: pd.Series) -> pd.Series:
+        _, _, key, check = gram_sets([(x or "").encode("utf-8", "replace") for x in t])
+        return pd.Series([f"{a}:{b}" for a, b in zip(key.view(np.int64).tolist(), check.view(np.int64).tolist(), strict=True)], dtype=object)
+
+    return hashed(text)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs, with all its columns, of each class: the one whose id is the class's; rows with a null id stay."""
-    found = classes(docs, id_col=id_col, text_col=text_col)
-    kept = found.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
+    """One row of docs, with all its columns, of each class: the one whose id is the class's; rows with a null id stay.
+
+    Of rows that share an id, one stays whose own text is in the id's class, never one that is linked with a lesser id.  If texts
+    of one id make several classes of that id, the one of the least node stays.
+    """
+    found = _classed(docs, RECALL, ROWS, id_col, text_col).where("doc_id = class_id")
     again = docs.select(F.col(id_col).alias("i")).where("i is not null").groupBy("i").count().where("count > 1").limit(1).collect()
-    out = docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi")
     if again:
-        out = out.dropDuplicates([id_col])
+        kept = found.groupBy(F.col("doc_id").alias("_kept")).agg(F.min(F.struct("node", "check")).alias("_n"))
+        kept = kept.select("_kept", F.concat_ws(":", F.col("_n.node").cast("string"), F.col("_n.check").cast("string")).alias("_text"))
+        own = docs.where(F.col(id_col).isNotNull()).withColumn("_own", node_of(F.col(text_col)))
+        out = own.join(kept, (own[id_col].cast("long") == kept["_kept"]) & (own["_own"] == kept["_text"]), "left_semi").drop("_own").dropDuplicates([id_col])
+    else:
+        kept = found.select(F.col("doc_id").alias("_kept")).distinct()
+        out = docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi")
     return out.unionByName(docs.where(F.col(id_col).isNull()))
 
 

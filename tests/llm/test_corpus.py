@@ -187,6 +187,14 @@ def test_representatives(table):
     assert jaccard_join.classes(table([])).count() == 0
 
 
+def test_representatives_of_repeated_ids(table):
+    plain = lambda i: " ".join(f"own{i}_{k}" for k in range(30))
+    copied = " ".join(f"copied{k}" for k in range(30))
+    rows = [(0, copied)] + [r for i in range(1, 21) for r in ((i, copied), (i, plain(i)), (i, plain(i)))]
+    kept = sorted((r["doc_id"], r["text"]) for r in jaccard_join.representatives(table(rows)).collect())
+    assert kept == [(0, copied)] + [(i, plain(i)) for i in range(1, 21)]
+
+
 def test_bands_reach_their_recall():
     b = jaccard_join.bands_for(0.8, 0.999, 6)
     assert 1 - (1 - 0.8**6) ** b >= 0.999 > 1 - (1 - 0.8**6) ** (b - 1)
