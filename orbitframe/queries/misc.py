@@ -177,7 +177,7 @@ def _keys(spark, sf_dir):
 
 
 def _slugs(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", matching.slug(F.substring("text", 1, 60)).alias("slug"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", matching.slug(F.col("text")).alias("slug"))
 
 
 def _trimmed(spark, sf_dir):

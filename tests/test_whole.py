@@ -68,3 +68,10 @@ def touches(south, north, y):
     """Whether row y of zoom 7 holds a latitude between the two."""
     row = lambda lat: (1 - math.log(math.tan(math.radians(lat)) + 1 / math.cos(math.radians(lat))) / math.pi) / 2 * 128
     return math.floor(row(north)) <= y <= math.floor(row(south))
+
+
+def test_slugs_are_whole(spark, tmp_path):
+    texts = ["a b " * 30 + "end", "x" * 80, "-" * 70 + "late", None, "", "short one"]
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r["slug"] for r in QUERIES["slugs"](spark, str(tmp_path)).collect()}
+    assert got == {0: "a-b-" * 30 + "end", 1: "x" * 80, 2: "late", 3: "item", 4: "item", 5: "short-one"}
