@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Rows of an Arrow batch handled at once in Python; bounds what one step expands in memory.
 STEP_ROWS = 256
 STEP_CHARS = 4_000_000
+#: Rows of an Arrow batch between the JVM and Python.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,16 +28,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, so that very long texts don't gather in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Small Arrow batches, so that very long texts don't gather in one batch; a session with smaller ones keeps its own.
+
+    The queries call it, not the operators.  It isn't set back: Arrow batches are made when the returned, lazy rows are read.
+    """
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage with a table written in the folder that all executors share.
+
+    The folder is the session's checkpoint folder, or the one that spark.checkpoint.dir names.  Where neither is set, a
+    local session makes a folder of its own; on a cluster no folder of one machine would do, so that is an error.
+    Unlike a checkpoint, which keeps the planner's guess of its size, a table has its true size: in loops the
+    guesses of joins multiply round by round, until planning itself takes minutes.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the table of what durable() returned, once nothing reads it any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._durable)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
@@ -57,13 +88,16 @@ def steps(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.Recor
         yield batch.slice(start, n - start)
 
 
-def map_rows(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
-    """fn gets the named columns in slices and returns lists by output column; the first column is passed on as it is."""
+def map_rows(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str, text: int = 1) -> DataFrame:
+    """fn gets the named columns in slices and returns lists by output column; the first column is passed on as it is.
+
+    text is the place of the column by whose size rows are sliced.
+    """
     fields = to_arrow_schema(T._parse_datatype_string(schema))
     first = fields.names[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches):
+        for part in steps(batches, text):
             out = fn(part)
             out.setdefault(first, part.column(0))
             yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v := out[f.name], pa.Array) else pa.array(v, f.type) for f in fields], schema=fields)

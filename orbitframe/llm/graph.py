@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, loose
+from .common import durable, forget, loose
 
 
 def _state(edges: DataFrame):
@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node and component, the least node of it, for each node of edges(a, b); numbers without nulls.
 
     Rounds grow with the logarithm of the longest path.  Each round's edges, at most as many as before,
-    are cut off by a reliable checkpoint.
+    are cut off by a reliable checkpoint, and the round before's is removed.
     """
     now = durable(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         met = _least(down)
         small = met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(met.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = durable(small.where("a != b").distinct())
+        before, now = now, durable(small.where("a != b").distinct())
+        forget(before)
         new = _state(now)
         if new == state:
             break

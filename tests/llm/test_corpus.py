@@ -179,14 +179,72 @@ def test_jaccard_join(table, monkeypatch, block):
     assert got == plain_links(rows)
 
 
+def chained(n):
+    """Texts in a long chain: each is linked with its next ones only."""
+    words = [f"c{i}" for i in range(60 + 3 * n)]
+    return [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(n)]
+
+
+def test_long_chains_are_compared_bucket_by_bucket(table, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 5)
+    seen, real = [], jaccard_join._scopes
+
+    def spied(*args):
+        seen.append(real(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(jaccard_join, "_scopes", spied)
+    rows = chained(400) + [(i and 1000 + i, t) for i, t in near_copies(7, 40)]
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.classes(table(rows), recall=0.9999999).collect()), key=repr)
+    assert got == plain_links(rows)
+    places = seen[0].select("place").distinct().collect()
+    assert {0} < {r["place"] for r in places}  # the chain by buckets, small groups as a whole
+
+
+def test_shipped_settings_against_brute_force(spark):
+    """All documents of sf0.01 with the recall and rows that the query uses."""
+    d = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.query(spark, d).collect()}
+    sets = {}
+    for i, t in rows:
+        w = WORDS.findall(t or "")
+        sets[i] = (frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []), tuple(w))
+    by_gram = defaultdict(set)
+    for i, (s, _) in sets.items():
+        for g in s:
+            by_gram[g].add(i)
+    links = {i: {j for j in set().union(*(by_gram[g] for g in s)) - {i} if 5 * len(s & sets[j][0]) >= 4 * len(s | sets[j][0])} if s else {j for j, (x, _) in sets.items() if not x and j != i} for i, (s, _) in sets.items()}
+    want = sum(map(len, links.values()))
+    assert sum(n for _, n in got.values()) >= 0.999 * want > 100 and all(n <= len(links[i]) for i, (_, n) in got.items())
+    assert sum(got[i][0] == got[j][0] for i in links for j in links[i]) >= 0.999 * want
+
+
 def test_representatives(table):
     rows = near_copies(6)
-    kept = jaccard_join.representatives(table(rows)).collect()
-    want = {c for i, c, _ in plain_links(rows) if i is not None}
-    assert {r["doc_id"] for r in kept if r["doc_id"] is not None} == want and len([r for r in kept if r["doc_id"] is not None]) == len(want)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.representatives(table(rows)).collect()]
+    assert {i for i, _ in kept if i is not None} == {c for i, c, _ in plain_links(rows) if i is not None}
     assert jaccard_join.classes(table([])).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_every_text_is_kept_or_linked_with_a_kept_one(table, seed):
+    r = random.Random(seed)
+    rows = [(r.randint(0, 25), t) for _, t in near_copies(seed, 50)] + [(5, "text a " * 9), (5, "words of b " * 9), (7, "words of b " * 9)]
+    kept = Counter((x["doc_id"], x["text"]) for x in jaccard_join.representatives(table(rows)).collect())
+    by_text = {}
+    for i, t in rows:
+        by_text.setdefault(tuple(WORDS.findall(t or "")), len(by_text))
+    # Classes of texts, with each text's rows under an id of its own.
+    of = {k: c for k, c, _ in plain_links([(k, " ".join(w)) for w, k in by_text.items()])}
+    group = lambda t: of[by_text[tuple(WORDS.findall(t or ""))]]
+    assert Counter(group(t) for _, t in kept.elements()) == Counter(set(map(group, (t for _, t in rows))))  # one row of each class
+    least = {}
+    for i, t in rows:
+        least[group(t)] = min(i, least.get(group(t), i))
+    assert all(least[group(t)] == i for i, t in kept)
+
+
 def test_representatives_of_repeated_ids(table):
     plain = lambda i: " ".join(f"own{i}_{k}" for k in range(30))
     copied = " ".join(f"copied{k}" for k in range(30))
