@@ -15,15 +15,16 @@ of at most BLOCK_CHARS is sent to the executors once, whatever the benchmark's s
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, rolling, table, texts, tune
+from .common import durable, loose, map_rows, rolling, table, texts, tune
 
 Q = 10
 PIECE = 64
@@ -35,6 +36,8 @@ END = 8
 EDIT_SHARE = 0.0625
 #: Bound on the characters of a block of the benchmark that is sent to the executors.
 BLOCK_CHARS = 2_000_000
+#: Pairs of a place in a text and a place in an item that are held at once.
+PAIRS = 4_000_000
 _FOLD = np.arange(0x110000, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -68,6 +71,7 @@ class Pieces:
     """The q-gram table of a block of items."""
 
     def __init__(self, items: list[tuple]):
+        self.items, self._halves = items, None
         self.item, self.chars = [], []
         for item_id, text in items:
             c = code_points(text or "")
@@ -104,6 +108,13 @@ class Pieces:
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
+    def halves(self) -> list[Pieces]:
+        """The tables of the first and the second half of the items."""
+        if self._halves is None:
+            m = len(self.items) // 2
+            self._halves = [Pieces(self.items[:m]), Pieces(self.items[m:])]
+        return self._halves
+
 
 def align(pattern: np.ndarray, sizes: np.ndarray, text: np.ndarray, free: bool) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of each pattern against its own stretch of text, and where the best match ends.
@@ -130,8 +141,7 @@ def align(pattern: np.ndarray, sizes: np.ndarray, text: np.ndarray, free: bool)
 
 def search(text: np.ndarray, p: Pieces) -> list[tuple]:
     """(item, start, end, edits) of the regions of one text that match pieces within their budget, or WORDS words of an item."""
-    whole, todo = _hits(text, p)
-    return merged([*whole, *verify(text, p, todo + _by_ends(text, p))])
+    return merged([*_hits(text, p), *verify(text, p, _by_ends(text, p))])
 
 
 def _by_ends(text: np.ndarray, p: Pieces) -> list[tuple[int, int, int]]:
@@ -142,20 +152,20 @@ def _by_ends(text: np.ndarray, p: Pieces) -> list[tuple[int, int, int]]:
     return [(i, 0, at - off - int(p.k[i])) for at in np.flatnonzero(np.isin(h, p.end_hashes)).tolist() for i, off in p.ends[int(h[at])]]
 
 
-def _hits(text: np.ndarray, p: Pieces) -> tuple[list[tuple], list[tuple[int, int, int]]]:
-    """Verbatim regions, and the other pieces that reach their bound as (item, start in it, first diagonal less the item's start)."""
+def _hits(text: np.ndarray, p: Pieces) -> list[tuple]:
+    """The regions that match by q-grams: verbatim ones, and verified pieces that reach their bound."""
     if not len(p.hashes) or len(text) < Q:
-        return [], []
+        return []
     h = rolling(text, Q)
     hit = p.seen[p._slot(h)]
     if hit.sum() < p.least:
-        return [], []
+        return []
     # The weakest bound first: no stretch with fewer hits than any piece needs can hold a match.
     total = np.concatenate([[0], np.cumsum(hit)])
     span = min(p.widest, len(h))
     full = total[span:] - total[:-span] >= p.least
     if not full.any():
-        return [], []
+        return []
     edge = np.zeros(len(h) + 1, np.int32)
     at = np.flatnonzero(full)
     np.add.at(edge, at, 1)
@@ -164,8 +174,38 @@ def _hits(text: np.ndarray, p: Pieces) -> tuple[list[tuple], list[tuple[int, int
     slot = np.searchsorted(p.hashes, h[where])
     true = (slot < len(p.hashes)) & (p.hashes[np.minimum(slot, len(p.hashes) - 1)] == h[where])
     where, slot = where[true], slot[true]
-    if len(where) < p.least:
-        return [], []
+    return _in_stretch(text, p, where, slot) if len(where) >= p.least else []
+
+
+def _in_stretch(text: np.ndarray, p: Pieces, where: np.ndarray, slot: np.ndarray) -> list[tuple]:
+    """The regions around the hits `where`, whose grams are p.hashes[slot].
+
+    A gram that is common in the block makes many pairs of a place in the text and a place in an item.  Beyond PAIRS
+    the hits are halved, with an overlap that holds any piece; a stretch too short for that meets the items half by half.
+    So at most PAIRS are held, or the places of one item times twice the width of a piece.
+    """
+    if not len(where):
+        return []
+    if int(p.times[slot].sum()) > PAIRS:
+        reach = max(p.widest, PIECE) + Q
+        if where[-1] - where[0] > 2 * reach:
+            middle = (int(where[0]) + int(where[-1])) // 2
+            left, right = where < middle + reach, where >= middle
+            return _in_stretch(text, p, where[left], slot[left]) + _in_stretch(text, p, where[right], slot[right])
+        if len(p.items) > 1:
+            out = []
+            for half in p.halves():
+                own = np.searchsorted(half.hashes, p.hashes[slot])
+                true = np.append(half.hashes, np.uint64(0))[own] == p.hashes[slot]
+                true &= own < len(half.hashes)
+                out += _in_stretch(text, half, where[true], own[true])
+            return out
+    whole, todo = _regions_of(text, p, where, slot)
+    return whole + verify(text, p, todo)
+
+
+def _regions_of(text: np.ndarray, p: Pieces, where: np.ndarray, slot: np.ndarray) -> tuple[list[tuple], list[tuple[int, int, int]]]:
+    """Verbatim regions, and the other pieces that reach their bound as (item, start in it, first diagonal less the item's start)."""
     times = p.times[slot]
     pos = np.repeat(where, times)
     entry = np.repeat(p.first[slot], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -279,18 +319,46 @@ def _bounded(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def _regions(docs: DataFrame, part: list[tuple], id_col: str, text_col: str) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(part)
+def _finder(docs: DataFrame, part: list[tuple]):
+    """(a function of texts that returns their regions by the block `part`, the broadcast that it reads)."""
+    held = docs.sparkSession.sparkContext.broadcast(part)  # at most BLOCK_CHARS characters, or one item
     cache: list[Pieces] = []
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def find(col: pa.Array) -> list[list[tuple]]:
         if not cache:
             cache.append(Pieces(held.value))
-        found = [search(code_points(t), cache[0]) for t in texts(batch.column(1))]
-        return {"regions": [[{"item_id": i, "start": a, "stop": z, "edits": e} for i, a, z, e in x] for x in found]}
+        return [search(code_points(t), cache[0]) for t in texts(col)]
+
+    return find, held
+
 
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(out, ["doc_id", "text"], run, "doc_id long, regions array<struct<item_id:long,start:long,stop:long,edits:int>>")
+def _regions(rows: DataFrame, part: list[tuple]):
+    """(the key of rows(key, text) with the regions of its text, the broadcast that they read)."""
+    find, held = _finder(rows, part)
+    of = "array<struct<item_id:long,start:long,stop:long,edits:int>>"
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"regions": [[{"item_id": i, "start": a, "stop": z, "edits": e} for i, a, z, e in x] for x in find(batch.column(1))]}
+
+    return map_rows(rows, list(rows.columns), run, f"{rows.columns[0]} {rows.dtypes[0][1]}, regions {of}"), held
+
+
+def _key(id_col: str | None, text_col: str) -> Column:
+    """A digest of a row's id and text that stays the same whenever the row is made anew."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text) if id_col else text)
+
+
+def _by_blocks(docs: DataFrame, first: list[tuple], others: Iterator[list[tuple]], key: Column, text_col: str) -> DataFrame:
+    """_key and regions of the rows in which any block finds something; each block is fetched, sent, used and let go before the next."""
+    rows = docs.select(key.alias("_key"), F.col(text_col).alias("text"))
+    found = None
+    for part in itertools.chain([first], others):
+        one, held = _regions(rows, part)
+        one = durable(one.where(F.size("regions") > 0))
+        held.destroy()
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("regions")))).alias("regions"))
 
 
 def screen(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -299,19 +367,16 @@ def screen(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     Null and empty texts are clean.  Found are 60 characters of an item verbatim,
     64 within 4 edits, WORDS words verbatim, and shorter items as a whole within their budget.  Items with fewer than Q characters
     are left out: they are too short to identify; so are null and blank ones.  An empty benchmark leaves every text clean.  Repeated rows give
-    repeated rows; a benchmark of several blocks groups rows with one id and text.  Columns besides these are left out.
+    repeated rows.  Columns besides these are left out.  A benchmark of several blocks takes a pass over docs for each.
     """
-    parts = list(blocks(benchmark, item_col, item_text)) if benchmark is not None else []
-    if len(parts) > 1:
-        keyed = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        union = None
-        for part in parts:
-            one = _regions(keyed.select(F.col("_row").alias("doc_id"), "text"), part, "doc_id", "text").where(F.size("regions") > 0)
-            union = one if union is None else union.unionByName(one)
-        found = union.groupBy(F.col("doc_id").alias("_row")).agg(F.array_sort(F.flatten(F.collect_list("regions"))).alias("regions"))
-        out = keyed.drop("text").join(found, "_row", "left").select(F.col("doc_id").cast("long"), F.coalesce("regions", F.array()).alias("regions"))
+    parts = blocks(benchmark, item_col, item_text) if benchmark is not None else iter(())
+    first, second = next(parts, []), next(parts, None)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if second is not None:
+        found = _by_blocks(rows, first, itertools.chain([second], parts), _key("doc_id", "text"), "text")
+        out = rows.select("doc_id", _key("doc_id", "text").alias("_key")).join(loose(found, "_key"), "_key", "left").select("doc_id", F.coalesce("regions", F.array()).alias("regions"))
     else:
-        out = _regions(docs, parts[0] if parts else [], id_col, text_col)
+        out = _regions(rows, first)[0]
     item = F.transform("regions", lambda r: r["item_id"])
     spans = F.transform("regions", lambda r: F.concat_ws(":", r["item_id"].cast("string"), r["start"].cast("string"), r["stop"].cast("string"), r["edits"].cast("string")))
     return out.select(
@@ -325,23 +390,20 @@ def screen(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, in whose texts no benchmark piece or passage is found."""
-    out = docs
-    for part in blocks(benchmark, item_col, item_text):
-        out = out.where(~_leaks(out, part)(F.col(text_col)))
-    return out
-
-
-def _leaks(docs: DataFrame, part: list[tuple]):
-    held = docs.sparkSession.sparkContext.broadcast(part)
-    cache: list[Pieces] = []
-
-    @F.pandas_udf("boolean")
-    def leaks(text: pd.Series) -> pd.Series:
-        if not cache:
-            cache.append(Pieces(held.value))
-        return pd.Series([bool(search(code_points(t or ""), cache[0])) for t in text], dtype=bool)
-
-    return leaks
+    parts = blocks(benchmark, item_col, item_text)
+    first, second = next(parts, None), next(parts, None)
+    if first is None:
+        return docs
+    if second is None:
+        find = _finder(docs, first)[0]
+
+        @F.pandas_udf("boolean")
+        def leaks(text: pd.Series) -> pd.Series:
+            return pd.Series([bool(x) for x in find(pa.array(text, pa.string()))], dtype=bool)
+
+        return docs.where(~leaks(F.col(text_col)))
+    found = _by_blocks(docs, first, itertools.chain([second], parts), _key(None, text_col), text_col).select("_key")
+    return docs.withColumn("_key", _key(None, text_col)).join(loose(found, "_key"), "_key", "left_anti").drop("_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

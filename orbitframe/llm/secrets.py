@@ -8,8 +8,8 @@ vocabulary, are few is reported as kind `random`.  One pass over the scan, no ex
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
+import os
 import re
 
 import pandas as pd
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, table, texts, tune
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The driver's rank file, by a setting of the environment; see `shipped`.
+VOCABULARY = os.environ.get("ORBITFRAME_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Shortest run that the efficiency test looks at, and the characters per token below which it is random.
 MIN_RUN = 20
 MAX_RATIO = 2.2
@@ -28,32 +29,94 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
-#: Lengths of hexadecimal digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and the form of a UUID.
-DIGESTS = (32, 40, 56, 64, 96, 128)
+#: Bytes of the digests that are named in front of them, and lengths of bare hexadecimal ones.
+NAMED = {"md5": 16, "sha1": 20, "sha224": 28, "sha256": 32, "sha384": 48, "sha512": 64}
+DIGESTS = frozenset(2 * n for n in NAMED.values())
 UUID = re.compile("[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
+ULID = re.compile("[0-7][0-9A-HJKMNP-TV-Z]{25}")
+BARE = re.compile("[0-9a-f]+|[0-9A-F]+")
+#: A part of an identifier: letters, then up to 13 digits (as many as an ISBN has); and the words of its letters.
+PART = re.compile("([A-Za-z]*)([0-9]{0,13})")
+LABEL = 4
+CASED = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
+#: Bound on the bytes of a vocabulary that is sent to the executors.
+VOCABULARY_BYTES = 64_000_000
 _WORDS = ("passw", "secret", "token", "api_key", "apikey")
+_SHIPPED: dict[str, object] = {}
 
 
-@functools.lru_cache(maxsize=2)
-def vocabulary(path: str):
-    """A tiktoken encoding of the ranks in a file; its pattern takes a whole run as one piece."""
+def _encoding(raw: bytes):
+    """A tiktoken encoding of ranks; its pattern takes a whole run as one piece."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
+def read_vocabulary(path: str) -> bytes:
+    with open(path, "rb") as f:
+        raw = f.read(VOCABULARY_BYTES + 1)
+    if len(raw) > VOCABULARY_BYTES:
+        raise ValueError(f"{path} is larger than {VOCABULARY_BYTES} bytes")
+    return raw
+
+
+def vocabulary(path: str):
+    if path not in _SHIPPED:
+        _SHIPPED[path] = _encoding(read_vocabulary(path))
+    return _SHIPPED[path]
+
+
+def shipped(spark: SparkSession, path: str):
+    """A function that makes the vocabulary at a path of the driver known where it is called."""
+    raw = read_vocabulary(path)
+    key = f"{path}:{hashlib.sha256(raw).hexdigest()}"
+    held = spark.sparkContext.broadcast(raw)
+
+    def install() -> str:
+        if key not in _SHIPPED:
+            _SHIPPED[key] = _encoding(held.value)
+        return key
+
+    return install
+
+
 def tokens(run: str, path: str) -> int:
     """Tokens of a run, encoded in stretches of 256 characters: a single piece's cost grows faster than its length."""
     return sum(len(vocabulary(path).encode_ordinary(run[i : i + 256])) for i in range(0, len(run), 256))
 
 
-def known(run: str) -> bool:
-    """Digests, UUIDs, plain numbers, and identifiers whose parts are words or numbers."""
-    if UUID.fullmatch(run) or run.isdigit() or (len(run) in DIGESTS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run)):
+def digest(run: str) -> bool:
+    """Hexadecimal digests of known lengths, and digests in hexadecimal or base64 after their name."""
+    if len(run) in DIGESTS and BARE.fullmatch(run):
         return True
-    return len(set(run)) < 6  # rulers such as ==========
+    name, _, rest = run.partition("-")
+    size = NAMED.get(name)
+    if not size:
+        return False
+    core = rest.rstrip("=")
+    whole = len(rest) in (len(core), -(-size // 3) * 4)
+    return bool(len(rest) == 2 * size and re.fullmatch("[0-9a-f]+", rest) or (whole and len(core) == (size * 8 + 5) // 6 and re.fullmatch("[A-Za-z0-9+/_-]+", core)))
+
+
+def identifier(run: str, path: str, ratio: float) -> bool:
+    """Two parts or more, each letters and then digits, whose words cost the vocabulary few tokens; or numbers with a label of up to LABEL letters."""
+    parts = re.split("[-_/+=]", run)
+    if sum(map(bool, parts)) < 2:
+        return False
+    words = []
+    for part in parts:
+        m = PART.fullmatch(part)
+        if not m:
+            return False
+        words += CASED.findall(m[1])
+    letters = sum(map(len, words))
+    return letters <= LABEL or letters >= ratio * sum(tokens(w.lower(), path) for w in words)
+
+
+def known(run: str, path: str = VOCABULARY, ratio: float = MAX_RATIO) -> bool:
+    """Digests, UUIDs, ULIDs, plain numbers, rulers such as ====, and identifiers whose parts are words or numbers (paths, branches, ISBNs)."""
+    return len(set(run)) < 6 or run.isdigit() or bool(UUID.fullmatch(run) or ULID.fullmatch(run)) or digest(run) or identifier(run, path, ratio)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -67,11 +130,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def random_spans(text: str, path: str, ratio: float) -> list[tuple[str, int, int]]:
+def random_spans(text: str, path: str = VOCABULARY, ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if not known(run) and len(run) < ratio * tokens(run, path):
+        if len(run) < ratio * tokens(run, path) and not known(run, path, ratio):
             out.append(("random", m.start(), m.end()))
     return out
 
@@ -118,9 +181,12 @@ def masked(text: str, path: str = VOCABULARY, ratio: float = MAX_RATIO) -> str:
 
 def mask(docs: DataFrame, path: str = VOCABULARY, ratio: float = MAX_RATIO, text_col: str = "text") -> DataFrame:
     """docs with secrets in the texts masked; null texts stay null, and nothing else changes."""
+    install = shipped(docs.sparkSession, path)
+
     @F.pandas_udf("string")
     def hide(text: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else masked(t, path, ratio) for t in text], dtype=object)
+        own = install()
+        return pd.Series([None if t is None else masked(t, own, ratio) for t in text], dtype=object)
 
     return docs.withColumn(text_col, hide(F.col(text_col)))
 

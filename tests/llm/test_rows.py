@@ -118,6 +118,31 @@ def test_decontamination_finds_passages_at_any_place():
     assert [x[:3] for x in D.search(D.code_points("zz " + tiny + " zz"), alone)] == [(3, 3, 3 + len(tiny) + 1)]
 
 
+@pytest.mark.parametrize("m", [*range(D.Q, 81, 1)])
+def test_decontamination_of_every_length(m):
+    """Items of each length, spoiled by as many edits as their budget allows, wherever these fall."""
+    rng = np.random.default_rng(m)
+    letters = np.array(list("abcdefghijklmnop "))
+    make = lambda n: "".join(rng.choice(letters, n))
+    item = "q" + make(m - 2) + "r"
+    p = D.Pieces([(1, item), (2, make(300))])
+    for _ in range(25):
+        doc = make(40) + spoiled(rng, item[:64], D.budget(min(m, 64))) + make(40)
+        assert any(x[0] == 1 for x in D.search(D.code_points(doc), p)), (item, doc)
+
+
+def test_decontamination_in_stretches(monkeypatch):
+    """Common grams: the same regions, however few pairs are held at once."""
+    rng = np.random.default_rng(8)
+    common = ["the answer is", "one of these", "all of the above", *("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60))]
+    word = [" ".join(rng.choice(common, 20)) for _ in range(12)]
+    items = list(enumerate(word))
+    docs = [" ".join(rng.choice(common, 60)) + " " + word[i][a : a + 90] + " " + "zq " * 30 for i, a in zip(range(12), range(0, 60, 5), strict=True)]
+    want = [{(i, a, z) for i, a, z, _ in D.search(D.code_points(d), D.Pieces(items))} for d in docs]
+    monkeypatch.setattr(D, "PAIRS", 500)
+    assert [{(i, a, z) for i, a, z, _ in D.search(D.code_points(d), D.Pieces(items))} for d in docs] == want and all(want)
+
+
 def test_decontamination_rows(spark, odd, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog and runs far away from here at once"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "short"), (1, item), (None, "   ")], "item_id long, text string")
@@ -129,6 +154,32 @@ def test_decontamination_rows(spark, odd, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_CHARS", 60)
     many = sorted((r["doc_id"] or 0, r["contaminated"], r["spans"]) for r in D.screen(docs, bench).collect())
     assert many == sorted((r["doc_id"] or 0, r["contaminated"], r["spans"]) for r in rows)
+    assert D.clean(docs, bench).count() == len(ODD) and set(D.clean(docs, bench).columns) == set(docs.columns)
+
+
+def test_decontamination_spans_against_brute_force(spark, table):
+    """Verbatim passages: each span is the longest common stretch that was planted."""
+    rng = np.random.default_rng(9)
+    make = lambda n, of: " ".join("".join(rng.choice(list(of), int(rng.integers(3, 9)))) for _ in range(n))
+    items = [(i, make(40, "abcdefgh")) for i in range(8)]
+    rows, want = [], {}
+    for i in range(40):
+        k = i % 8
+        text = items[k][1]
+        a = int(rng.integers(0, len(text) - 120))
+        left, right = make(6, "uvwxyz") + "_", "_" + make(6, "uvwxyz")
+        rows.append((i, left + text[a : a + 110] + right if i % 3 else left + right))
+        if i % 3:
+            want[i] = f"{k}:{len(left)}:{len(left) + 110}:0"
+    got = D.screen(table(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    for r in got:
+        exact = want.get(r["doc_id"])
+        assert r["contaminated"] == (exact is not None)
+        if exact:
+            i, a, z, _ = map(int, exact.split(":"))
+            j, b, y, _ = map(int, r["spans"].split(":"))
+            # A piece half in the passage may use its edits beyond the end, so a region may be longer, never shorter.
+            assert j == i and a - 2 * D.budget(64) <= b <= a and z <= y <= z + 2 * D.budget(64)
 
 
 EMAIL, IP, CARD, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -204,7 +255,7 @@ def test_random_strings(odd):
 
     r = random.Random(4)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    caught = sum(bool(secrets.random_spans("key " + "".join(r.choice(letters) for _ in range(32)) + " end", secrets.VOCABULARY, secrets.MAX_RATIO)) for _ in range(100))
+    caught = sum(bool(secrets.random_spans("key " + "".join(r.choice(letters) for _ in range(32)) + " end")) for _ in range(100))
     assert caught >= 95
     for plain in ("the_configuration_of_international_standards2", "550e8400-e29b-41d4-a716-446655440000", "d41d8cd98f00b204e9800998ecf8427e", "12345678901234567890123", "=" * 40, "Donaudampfschifffahrtsgesellschaft", "application/vnd-openxmlformats-officedocument"):
         assert not secrets.random_spans(plain, secrets.VOCABULARY, secrets.MAX_RATIO), plain
@@ -214,6 +265,95 @@ def test_random_strings(odd):
     assert sorted(r["text"] or "" for r in secrets.mask(odd).collect()) == sorted(t or "" for _, t in ODD)
 
 
+def plain_tokens(run):
+    """Byte pairs merged by the least rank, one at a time."""
+    import base64
+
+    if not _RANKS:
+        with open(secrets.VOCABULARY, "rb") as f:
+            _RANKS.update({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+    n = 0
+    for at in range(0, len(run), 256):
+        parts = [bytes([b]) for b in run[at : at + 256].encode()]
+        while True:
+            pairs = [(_RANKS[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in _RANKS]
+            if not pairs:
+                break
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        n += len(parts)
+    return n
+
+
+_RANKS = {}
+
+
+def plain_known(run):
+    """The exclusions of secrets.known, written out case by case."""
+    hexes = {32, 40, 56, 64, 96, 128}
+    if len(set(run)) < 6 or run.isdigit():
+        return True
+    if all(c in "0123456789abcdef" for c in run) and len(run) in hexes or all(c in "0123456789ABCDEF" for c in run) and len(run) in hexes:
+        return True
+    if [len(x) for x in run.split("-")] == [8, 4, 4, 4, 12] and all(c in "0123456789abcdefABCDEF" for c in run.replace("-", "")):
+        return True
+    if len(run) == 26 and run[0] in "01234567" and all(c in "0123456789ABCDEFGHJKMNPQRSTVWXYZ" for c in run):
+        return True
+    name, dash, rest = run.partition("-")
+    sizes = {"md5": 16, "sha1": 20, "sha224": 28, "sha256": 32, "sha384": 48, "sha512": 64}
+    if dash and name in sizes:
+        n = sizes[name]
+        if len(rest) == 2 * n and all(c in "0123456789abcdef" for c in rest):
+            return True
+        core = rest.rstrip("=")
+        if len(core) == (n * 8 + 5) // 6 and len(rest) in (len(core), -(-n // 3) * 4) and all(c.isascii() and (c.isalnum() or c in "+/_-") for c in core):
+            return True
+    words, parts = [], []
+    for part in re.split("[-_/+=]", run):
+        parts.append(part)
+        letters = part.rstrip("0123456789")
+        digits = part[len(letters) :]
+        if len(digits) > 13 or not (letters == "" or letters.isalpha()):
+            return False
+        words += [w for w in re.findall("[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]", letters)]
+    letters = sum(map(len, words))
+    if len([x for x in parts if x]) < 2:
+        return False
+    return letters <= 4 or letters >= 2.2 * sum(plain_tokens(w.lower()) for w in words)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["refs/heads/", "feature", "-", "_", "/", "JIRA", "1234", "fix", "sha256-", "md5-", "47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", "xQ7", "zK9w", "qvxz", "0d41", "deadbeef", "01ARZ3NDEKTSV4RRFFQ69G5FAV", "ISBN", "978-3-16-148410-0", " ", ".", "=", "camelCaseName", "é", "550e8400-e29b-41d4-a716-446655440000", "wJalrXUtnFEMI/K7MDENG", "bPxRfiCY"]), max_size=9))
+def test_whole_verdict_on_secrets(parts):
+    text = "".join(parts)
+    want = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        if not plain_known(m[0]) and len(m[0]) < secrets.MAX_RATIO * plain_tokens(m[0]):
+            want.append(("random", m.start(), m.end()))
+    base = secrets.base_spans(text)
+    want = [x for x in want if not any(b[1] < x[2] and x[1] < b[2] for b in base)]
+    got = secrets.all_spans(text)[1]
+    assert sorted(x for x in got if x[0] == "random") == sorted(want) and [x for x in got if x[0] != "random"] == base
+
+
+def test_known_digests_and_identifiers_are_left_alone():
+    for plain in ("sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", "refs/heads/feature/JIRA-1234-fix", "ISBN-978-3-16-148410-0", "isbn_9783161484100_softcover", "01ARZ3NDEKTSV4RRFFQ69G5FAV", "sha1-2jmj7l5rSw0yVb/vlWAYkK/YBwk=", "release-2024-01-02-build-000123", "com/example/project/FooBarServiceImpl"):
+        assert not secrets.random_spans(f"see {plain} here"), plain
+    for secret in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKEY1", "ghp-x7Kq2LmZ9pWv4RtY8sNd", "qxzv-kjwq-zzxk-vbqj-wqpx", "9f8G-2kLm-Q7zX-4vBn-T1rW"):
+        assert secrets.random_spans(f"see {secret} here"), secret
+
+
+def test_vocabulary_is_shipped(spark, table, tmp_path, monkeypatch):
+    """Executors get the file's bytes from the driver, so that only the driver needs the file."""
+    import shutil
+
+    own = tmp_path / "own.tiktoken"
+    shutil.copy(secrets.VOCABULARY, own)
+    out = secrets.scan(table([(1, "key wJalrXUtnFEMIK7MDENGbPxRfiCYzq end")]), str(own))
+    own.unlink()
+    assert out.first()["spans"] == "random:4:36"
+
+
 def test_random_strings_of_one_case():
     import random
 
