@@ -1,18 +1,22 @@
 """Personal data by weak supervision.
 
-Fixed patterns give the base spans.  Beside them a wider generator proposes candidates (matches that the base
-drops, national phone numbers, spelled-out addresses, personal names), and labelers vote on each: a checksum or
-form labeler (regex), a gazetteer labeler, and two context labelers.  Expectation-maximisation over the counts of
-vote patterns estimates how reliable each labeler is and how likely each pattern is personal data; those
-probabilities train the final span classifier, a logistic regression over the form and context of a span.
+Fixed patterns give the base spans.  Beside them wide generators propose candidates (runs of digits that the base
+drops, anything that reads like an address at a host, pairs of capitalised words), and five labelers vote on
+base spans and candidates alike: the form of the span, a gazetteer, the neighbouring words, the structure of its
+parts, and words that deny.  None repeats what a generator requires, so votes of one kind differ and conflict.
+Expectation-maximisation over the counts of vote patterns estimates, kind by kind, how reliable each labeler is and how
+likely each pattern is personal data; those probabilities train the final span classifier, a logistic
+regression over kind, votes and shape of a span.
 
 Texts are read once.  What leaves the scan is a row for each text with its spans and candidates; the driver only
-gets counts by vote pattern and form, whose number the tables of codes bound, whatever the size of the corpus.
+gets counts by vote pattern and shape, whose number the table of codes bounds, whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -24,21 +28,34 @@ from .common import durable, map_rows, table, texts, tune
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("address", "number", "person")
+EVERY = KINDS + EXTRA
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: No match begins within a run of digits, so starts are tried once a run, however long it is.
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]?(?:@| at )[\])]? ?[A-Za-z0-9-]+ ?[\[(]?(?: dot |\.)[\])]? ?[A-Za-z]{2,6}")
-NUMBER = re.compile(r"(?<![0-9.])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{2,3}[-. ][0-9]{4}(?![0-9])")
-#: Gazetteers: given names, honorifics before names, cue words before data, and words that deny it.
-GIVEN = frozenset("James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Thomas Susan Sarah Anna Maria Jose Juan Carlos Lucia Carmen Pierre Jean Marie Claire Hans Peter Klaus Ingrid Sabine Wolfgang".split())
-HONORIFIC = frozenset("Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora Don".split())
-CUES = frozenset("call phone tel telephone mobile fax contact mail email e-mail address card account ssn name named from to by ip host".split())
-DENIALS = frozenset("version isbn issn order invoice page figure table section chapter law act no number build release".split())
-COUNTRY = frozenset("com org net edu gov io de fr es uk eu info".split())
-NAME = re.compile(r"\b(?:" + "|".join(sorted(GIVEN)) + r")\s[A-Z][a-z]+\b")
+#: Wide generators: an address at a host, a run of digits with separators, two capitalised words.
+SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]?(?:@| at )[\])]? ?[A-Za-z0-9-]{1,64} ?[\[(]?(?: dot |\.)[\])]? ?[A-Za-z]{2,12}\b")
+DIGITS = re.compile(r"[0-9 ().-]{7,}")
+CAPITALS = re.compile(r"\b[A-Z][a-z]+[ \t][A-Z][a-z]+\b")
+#: Gazetteers (given names, honorifics, top-level domains, country codes, role mailboxes), cue words and words that deny.
+GIVEN = frozenset(
+    "james mary john anna peter maria paul linda robert susan michael laura david karen thomas emma daniel julia mark sofia hans greta jürgen ingrid pierre marie jean claire carlos lucia miguel elena "
+    "ahmed fatima omar aisha wei li ming yuki kenji priya raj anita ivan olga dmitri natasha kofi ama william elizabeth richard barbara joseph jessica charles sarah".split()
+)
+HONORIFIC = frozenset("mr mrs ms dr prof sir herr frau señor señora madame monsieur".split())
+COUNTRY = frozenset("com org net edu gov io de fr es uk eu info us ca au jp cn in br it nl ch at se".split())
+DIALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 52 54 55 61 62 64 65 81 82 86 90 91 351 353 358 420 971 972".split())
+ROLES = frozenset("info admin support sales contact noreply no-reply postmaster webmaster root test example".split())
+SMALL = frozenset("a an the of and or in on at to for is it as by be was with from that this der die das und les des une que los las el la del de en un est por".split())
+CUES = frozenset("call phone tel telephone mobile fax contact mail email e-mail address card account ssn visa mastercard name named write by from ip host server client regards dear signed".split())
+DENIALS = frozenset("version isbn issn order invoice page figure table section chapter law act number no build release id ref sku hash token serial example sample".split())
+SPEECH = frozenset("said says wrote told born died lives asked replied".split())
+LABELERS = 5
+SHAPES = 48
+#: How often labelers are taken to be right, before their votes are compared.
+TRUST = 0.8
 DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile(r"[\w-]+")
 
@@ -94,69 +111,122 @@ def matches(text: str) -> list[tuple[str, int, int, bool]]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int, bool]]) -> list[tuple[int, int, int]]:
-    """(code, start, end) of what the base doesn't report; code packs kind, votes and form, see coded()."""
-    held = sorted((a, z) for _, a, z, ok in base if ok)
-    found = [("number", a, z) for k, a, z, ok in base if not ok and k == "card" and z - a >= 9]
+    """(code, start, end) of the base spans and of what the base doesn't report; a code packs kind, votes and shape, see coded()."""
+    spans = [(k, a, z) for k, a, z, ok in base if ok]
+    held = sorted((a, z) for _, a, z in spans)
+    starts = [a for a, _ in held]
+    reach = list(itertools.accumulate((z for _, z in held), max))  # the furthest end of the spans up to each
+    found = []
     if "@" in text or " at " in text:
         found += [("address", m.start(), m.end()) for m in SPELLED.finditer(text)]
     if DIGIT.search(text):
-        found += [("number", m.start(), m.end()) for m in NUMBER.finditer(text)]
-    found += [("person", m.start(), m.end()) for m in NAME.finditer(text)]
-    out, last = [], -1
+        for m in DIGITS.finditer(text):
+            a, z = m.start(), m.end()
+            while a < z and not ("0" <= text[a] <= "9" or (text[a] == "(" and "0" <= text[a + 1 : a + 2] <= "9")):
+                a += 1
+            while z > a and not "0" <= text[z - 1] <= "9":
+                z -= 1
+            if 7 <= len(only_digits(text[a:z])) <= 19:
+                found.append(("number", a, z))
+    found += [("person", m.start(), m.end()) for m in CAPITALS.finditer(text)]
+    out, last = [(coded(k, text, a, z), a, z) for k, a, z in spans], -1
     for kind, a, z in sorted(found, key=lambda x: (x[1], -x[2])):
-        if a >= last and not any(b < z and a < e for b, e in held):
+        before = bisect.bisect_left(starts, z)
+        if a >= last and not (before and reach[before - 1] > a):
             out.append((coded(kind, text, a, z), a, z))
             last = z
     return out
 
 
-def coded(kind: str, text: str, a: int, z: int) -> int:
-    """Votes of the four labelers (0 abstains, 1 no, 2 yes) and the form of a candidate as one number under 3 * 81 * 48."""
-    span, d = text[a:z], only_digits(text[a:z])
-    before = _TOKEN.findall(text[max(0, a - 40) : a])[-3:]
-    after = _TOKEN.findall(text[z : z + 24])[:2]
-    words = [w.lower() for w in before]
-    if kind == "address":
-        form = 2 if re.search(r"(@| at ).*(\.| dot )", span) else 1
-        gazetteer = 2 if re.split(r"[ .\])]+", span)[-1].lower() in COUNTRY else 1
-    elif kind == "number":
-        form = 2 if re.fullmatch(r"(\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{2,3}[-. ][0-9]{4}", span) else 1
-        gazetteer = 2 if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", span) and d[:3] not in ("000", "666") else 1 if len(set(d)) <= 2 else 0
+def _vote(yes: bool, no: bool) -> int:
+    return 2 if yes and not no else 1 if no else 0
+
+
+def ballots(kind: str, text: str, a: int, z: int) -> list[int]:
+    """Votes of the labelers (0 abstains, 1 no, 2 yes): form, gazetteer, neighbours, structure, denial."""
+    span = text[a:z]
+    d = only_digits(span)
+    before = [w.lower() for w in _TOKEN.findall(text[max(0, a - 40) : a])[-3:]]
+    after = [w.lower() for w in _TOKEN.findall(text[z : z + 24])[:2]]
+    cue = bool(CUES & {*before, *after[:1]})
+    deny = bool(DENIALS & set(before))
+    if kind in ("email", "address"):
+        local, host = re.split(r"@| at ", span, maxsplit=1)
+        parts = [x for x in re.split(r"[ .\[\]()]+|\bdot\b", host) if x]
+        local = local.strip(" [(").lower()
+        end = parts[-1].lower() if parts else ""
+        spelled = kind == "address" and bool(re.search(r"[\[(]|\bdot\b", span))
+        form = _vote(kind == "email" or spelled, kind == "address" and bool(re.search(r"\. ", span)))
+        gazetteer = _vote(end in COUNTRY, end not in COUNTRY and (len(end) > 4 or end in SMALL))
+        structure = _vote(bool(re.search(r"[0-9._+-]", local)) or local in GIVEN, local in SMALL or local in ROLES)
+        deny = deny or "example" in parts or local in SMALL
+    elif kind == "ip":
+        parts = [int(x[-3:]) for x in span.split(".")]
+        form = _vote(all(x == str(int(x[-3:])) for x in span.split(".")), max(parts) < 10)
+        gazetteer = _vote(False, parts[0] in (0, 10, 127) or parts[0] >= 224 or parts[:2] in ([192, 168], [169, 254]))
+        structure = _vote(min(parts[1:]) > 9, 0 in parts[1:3])
+        deny = deny or text[max(0, a - 1) : a].lower() == "v"
+    elif kind in ("card", "phone", "number"):
+        groups = [len(x) for x in re.findall("[0-9]+", span)]
+        issuer = d[0] in "45" or d[:2] in ("34", "37", "65") or d[:4] == "6011"
+        telephone = groups in ([3, 3, 4], [1, 3, 3, 4], [2, 3, 3, 4]) or (kind == "phone" and len(groups) > 2)
+        form = _vote(telephone or groups in ([3, 2, 4], [4, 4, 4, 4], [4, 6, 5]), kind == "number" and (len(groups) > 6 or (len(groups) > 1 and max(groups) > 10)))
+        if kind == "phone":
+            gazetteer = _vote(any(d.startswith(c) for c in DIALLING), d.startswith("0"))
+        else:
+            gazetteer = _vote(13 <= len(d) <= 19 and issuer, (13 <= len(d) <= 19 and not issuer) or d[:3] in ("000", "666"))
+        structure = _vote(13 <= len(d) <= 19 and luhn(d), len(set(d)) <= 2 or (kind == "number" and 13 <= len(d) <= 19 and not luhn(d)))
+        touching = (text[a - 1 : a] + text[z : z + 1]).strip()
+        deny = deny or any(c.isalnum() or c in "\"'_=" for c in touching)
     else:
-        form = 2 if re.fullmatch(r"[A-Z][a-z]+ [A-Z][a-z]{2,}", span) else 1
-        gazetteer = 2 if span.split()[0] in GIVEN else 1
-    cue = 2 if CUES & set(words) or (before and before[-1] in HONORIFIC) else 0
-    deny = 1 if DENIALS & set(words) else 0
-    votes = form + 3 * gazetteer + 9 * cue + 27 * deny
-    shape = min(3, len(d) // 4) + 4 * min(2, len(span) // 12) + 12 * bool(after and after[0][:1].isupper()) + 24 * (a == 0 or text[a - 1] in "\n(<[\"'")
-    return (EXTRA.index(kind) * 81 + votes) * 48 + shape
+        first, second = span.lower().split()
+        form = _vote(first != second and min(len(first), len(second)) > 2, first == second or len(second) < 2)
+        gazetteer = _vote(first in GIVEN, first in SMALL or second in SMALL)
+        structure = _vote(False, a == 0 or text[max(0, a - 2) : a].strip()[-1:] in (".", "!", "?", ""))
+        cue = cue or bool(before and before[-1] in HONORIFIC) or bool(SPEECH & set(after))
+    return [form, gazetteer, 2 if cue else 0, structure, 1 if deny else 0]
+
+
+def coded(kind: str, text: str, a: int, z: int) -> int:
+    """Kind, votes and shape of a span as one number under len(EVERY) * 3**LABELERS * SHAPES."""
+    n = sum("0" <= c <= "9" for c in text[a:z])
+    follows = text[z : z + 24].lstrip()[:1]
+    votes = sum(v * 3**i for i, v in enumerate(ballots(kind, text, a, z)))
+    shape = min(3, n // 4) + 4 * min(2, (z - a) // 12) + 12 * follows.isupper() + 24 * (a == 0 or text[a - 1] in "\n(<[\"'")
+    return (EVERY.index(kind) * 3**LABELERS + votes) * SHAPES + shape
 
 
 def decode(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(kind, votes as a matrix, features as a matrix)."""
-    shape, rest = code % 48, code // 48
-    votes, kind = rest % 81, rest // 81
-    v = np.stack([votes // 3**i % 3 for i in range(4)], axis=1)
-    columns = [kind == i for i in range(3)] + [v[:, i] == j for i in range(4) for j in (1, 2)] + [shape % 4 == i for i in range(4)] + [shape // 4 % 3 == i for i in range(3)] + [shape // 12 % 2 == 1, shape // 24 == 1]
+    """(kind, votes as a matrix, features as a matrix): votes mean other things for other kinds, so each kind has its own columns."""
+    shape, rest = code % SHAPES, code // SHAPES
+    votes, kind = rest % 3**LABELERS, rest // 3**LABELERS
+    v = np.stack([votes // 3**i % 3 for i in range(LABELERS)], axis=1)
+    columns = [(kind == k) & c for k in range(len(EVERY)) for c in [kind == k, *(v[:, i] == j for i in range(LABELERS) for j in (1, 2))]]
+    columns += [shape % 4 == i for i in range(4)] + [shape // 4 % 3 == i for i in range(3)] + [shape // 12 % 2 == 1, shape // 24 == 1]
     return kind, v, np.stack(columns, axis=1).astype(float)
 
 
 def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
     """Expectation-maximisation for two classes: P(personal | votes), P(vote | class) by labeler, P(personal).
 
-    Starts from the share of yes among the votes cast, so that class 1 stays the one the labelers call personal.
+    An abstention says nothing.  Labelers are taken to be right TRUST of the time beforehand.  That counts little for one that
+    votes both ways, as much as its votes for one that only ever denies or affirms: such a labeler can't be
+    told from the others' agreement, and would lose all weight.
     """
     yes, cast = (votes == 2).sum(1), (votes > 0).sum(1)
     post = (yes + 0.5) / (cast + 1.0)
-    theta, prior = np.full((2, votes.shape[1], 3), 1 / 3), 0.5
+    theta, prior = np.ones((2, votes.shape[1], 3)), 0.5
     for _ in range(rounds):
         weight = np.stack([n * (1 - post), n * post])
         prior = float((weight[1].sum() + 1) / (n.sum() + 2))
-        for c in range(2):
-            for i in range(votes.shape[1]):
-                count = np.array([weight[c][votes[:, i] == j].sum() for j in range(3)]) + 0.5
-                theta[c, i] = count / count.sum()
-        log = np.log([[1 - prior], [prior]]) + np.stack([sum(np.log(theta[c, i, votes[:, i]]) for i in range(votes.shape[1])) for c in range(2)])
+        for i in range(votes.shape[1]):
+            one_way = not ((votes[:, i] == 1).any() and (votes[:, i] == 2).any())
+            trusted = 2 + (n[votes[:, i] > 0].sum() if one_way else 0)
+            for c in range(2):
+                count = np.array([weight[c][votes[:, i] == j].sum() for j in (1, 2)]) + trusted * np.array([1 - TRUST, TRUST] if c else [TRUST, 1 - TRUST])
+                theta[c, i, 1:] = count / count.sum()
+        balance = (2 * prior + 0.5) / 3
+        log = np.log([[1 - balance], [balance]]) + np.stack([sum(np.log(theta[c, i, votes[:, i]]) for i in range(votes.shape[1])) for c in range(2)])
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
     return post, theta, prior
 
@@ -167,7 +237,7 @@ def train(codes: np.ndarray, n: np.ndarray, rounds: int = 400) -> dict[int, floa
         return {}
     kind, votes, x = decode(codes)
     target = np.zeros(len(codes))
-    for k in range(len(EXTRA)):  # labelers mean other things for other kinds
+    for k in range(len(EVERY)):
         own = kind == k
         if own.any():
             target[own] = reliabilities(votes[own], n[own].astype(float))[0]
@@ -187,7 +257,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the base counts and digest, the joined base spans, and the candidates of each text."""
+    """doc_id, the base counts and digest, the joined base spans, and the coded base spans and candidates of each text."""
 
     def run(part: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "found")}
@@ -206,24 +276,26 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_extra, a row for each of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_extra and n_doubtful, a row for each of docs.
 
     spans has the base spans (kind:start:end in code points, by kind and start) and then the candidates whose
-    probability reaches the threshold.  Null texts are empty and have no spans.  Without candidates nothing is
-    trained.  Repeated rows give repeated rows, a null id stays null, other columns are left out.
+    probability reaches the threshold; n_doubtful counts the base spans whose probability doesn't, which stay.  Null texts are empty and
+    have no spans.  Without candidates nothing is trained.  Repeated rows give repeated rows, a null id stays null, other columns are left out.
     """
     rows = durable(extract(docs, id_col, text_col))
-    counts = rows.select(F.explode("found.code").alias("code")).groupBy("code").count().collect()  # at most 3 * 81 * 48 codes
+    per = 3**LABELERS * SHAPES
+    counts = rows.select(F.explode("found.code").alias("code")).groupBy("code").count().collect()  # at most len(EVERY) * per codes
     model = train(np.array([r["code"] for r in counts], np.int64), np.array([r["count"] for r in counts], np.int64))
-    accepted = {c: EXTRA[c // (81 * 48)] for c, p in model.items() if p >= threshold}
+    accepted = {c: EVERY[c // per] for c, p in model.items() if p >= threshold}
 
     def run(part: pa.RecordBatch) -> dict:
         base, found = part.column("base").to_pylist(), part.column("found").to_pylist()
-        extra = [sorted(((accepted[x["code"]], x["start"], x["stop"]) for x in f if x["code"] in accepted), key=lambda s: (EXTRA.index(s[0]), s[1])) for f in found]
+        extra = [sorted(((accepted[x["code"]], x["start"], x["stop"]) for x in f if x["code"] in accepted and accepted[x["code"]] in EXTRA), key=lambda s: (EXTRA.index(s[0]), s[1])) for f in found]
         keep = {k: part.column(k) for k in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")}
-        return keep | {"spans": [",".join(x for x in (b, _joined(e)) if x) for b, e in zip(base, extra, strict=True)], "n_extra": [len(e) for e in extra]}
+        doubtful = [sum(x["code"] // per < len(KINDS) and x["code"] not in accepted for x in f) for f in found]
+        return keep | {"spans": [",".join(x for x in (b, _joined(e)) if x) for b, e in zip(base, extra, strict=True)], "n_extra": [len(e) for e in extra], "n_doubtful": doubtful}
 
-    return map_rows(rows, rows.columns, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_extra long")
+    return map_rows(rows, rows.columns, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_extra long, n_doubtful long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,12 +73,13 @@ def shipped(spark: SparkSession, path: str):
     key = f"{path}:{hashlib.sha256(raw).hexdigest()}"
     held = spark.sparkContext.broadcast(raw)
 
-    def install() -> str:
-        if key not in _SHIPPED:
-            _SHIPPED[key] = _encoding(held.value)
-        return key
+    return lambda: _install(key, held)
 
-    return install
+
+def _install(key: str, held) -> str:
+    if key not in _SHIPPED:
+        _SHIPPED[key] = _encoding(held.value)
+    return key
 
 
 def tokens(run: str, path: str) -> int:
@@ -154,11 +155,13 @@ def scan(docs: DataFrame, path: str = VOCABULARY, ratio: float = MAX_RATIO, id_c
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end in code points) and n_random, a row for each of docs.
 
     The span of `assign` is its whole match.  Null texts are empty and have no spans.  Repeated rows give repeated rows, a null
-    id stays null, other columns are left out.  `path` is a tiktoken rank file that each executor can open.
+    id stays null, other columns are left out.  `path` is a tiktoken rank file that the driver can open; it is sent along.
     """
+    install = shipped(docs.sparkSession, path)
 
     def run(part: pa.RecordBatch) -> dict:
-        found = [all_spans(t, path, ratio) for t in texts(part.column(1))]
+        own = install()
+        found = [all_spans(t, own, ratio) for t in texts(part.column(1))]
         out = {f"n_{k}": [sum(s[0] == k for s in b) for b, _ in found] for k in KINDS}
         out["base_sha256"] = [hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found]
         out["spans"] = [_joined(a) for _, a in found]

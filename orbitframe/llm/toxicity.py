@@ -1,17 +1,21 @@
 """A counterfactual-regularised toxicity classifier.
 
-Logistic regression over which words and word beginnings a text has.  In the labelled sentences identity terms
-are swapped for terms of other groups, and the loss adds the squared change of the score between a text and its
-swapped twin, so that neither group's mention by itself moves the score.
-
-It is fitted on at most SAMPLE labelled rows, chosen by a hash of the id, with at most FEATURES features, chosen by
-their chi-square statistic over that sample; both are parameters.  Scoring covers every text: one pass over the
-scan with the weights (at most FEATURES numbers) in the task, no exchange.
+Logistic regression over which words and word beginnings a text has, hashed to BUCKETS numbers.  In the labelled texts each
+identity term of a sentence is swapped for the next term of its line, one sentence and term at a time, and the loss
+adds the mean squared change of the score between a text and its swapped twins, so that no group's mention by itself
+moves the score, not even where a text names several.
+
+It is fitted on at most SAMPLE labelled rows, chosen by a hash of id and text (a parameter).  Their features are made in
+one scan and kept; those that chi-square finds telling (a threshold, no cap) get weights.  Scoring covers every
+text: one pass over the scan with the weights (at most BUCKETS numbers) in the task, no exchange.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows, steps, table, texts, tune
+from .common import durable, forget, held_out, map_rows, table, texts, tune
 
 SAMPLE = 12_000
-FEATURES = 1_024
+#: Numbers that features are hashed to.
+BUCKETS = 1 << 18
 #: Least chi-square statistic of a feature, and least number of sample texts that have it.
 SIGNIFICANCE, LEAST_TEXTS = 20.0, 4
 #: Weight of the squared score change under swapped identity terms.
@@ -36,6 +41,7 @@ IDENTITY = (
 )
 SWAP = {w: group[(i + 1) % len(group)] for group in IDENTITY for i, w in enumerate(group)}
 _WORD = re.compile(r"\w+")
+_SENTENCE = re.compile(r"[.!?\n]+")
 PREFIXES = (3, 4, 5, 6)
 
 
@@ -43,63 +49,83 @@ def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def swapped(words: set[str]) -> set[str]:
-    return {SWAP.get(w, w) for w in words}
+def features_of(word: str) -> tuple[int, ...]:
+    """Buckets of the word itself and of its beginnings, the latter marked by a star."""
+    return tuple(zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in (word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)))
+
+
+def twins_of(text: str) -> list[set[str]]:
+    """The words of the text's twins: an identity term of one sentence swapped, all else as it is.
+
+    A twin differs by the term that comes and, if no other sentence has it, by the one that goes; so there are at most
+    two for each identity term, however long the text is.
+    """
+    low = text.lower()
+    if not (words := words_of(low)) & SWAP.keys():
+        return []
+    times = Counter(w for s in _SENTENCE.split(low) for w in set(_WORD.findall(s)) & SWAP.keys())
+    twins = {(w if n == 1 else "", SWAP[w]) for w, n in times.items()}
+    return [x for gone, new in sorted(twins) if (x := (words - {gone}) | {new}) != words]
+
+
+class Features:
+    """Buckets of sets of words, with a memory of the words met."""
 
+    def __init__(self, index: dict[int, int] | None = None):
+        self.index = index
+        self.memo: dict[str, tuple[int, ...]] = {}
 
-def features_of(word: str) -> list[str]:
-    """The word itself and its beginnings, the latter marked by a star."""
-    return [word[:64], *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+    def __call__(self, words: set[str]) -> set[int]:
+        memo, index, out = self.memo, self.index, set()
+        if len(memo) > 400_000:
+            memo.clear()
+        for w in words:
+            hit = memo.get(w)
+            if hit is None:
+                hit = features_of(w)
+                if index is not None:
+                    hit = tuple(index[f] for f in hit if f in index)
+                memo[w] = hit
+            if hit:
+                out.update(hit)
+        return out
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and toxic of at most so many labelled rows: those first in the order of a hash of the id."""
+    """y, x (buckets) and z (buckets of each twin) of at most so many labelled rows: those first in the order of a hash of id and text.
+
+    The labels to look for are at most `size`, too, first in that order of the id: the bound of the broadcast.
+    """
     chosen = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic is not null").distinct()
     chosen = chosen.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(size)
-    # At most `size` pairs of an id and a label: the bound of the broadcast.
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("_toxic", "text", F.xxhash64("_id", "text").alias("_order"))
 
+    def run(part: pa.RecordBatch) -> dict:
+        features = Features()
+        t = texts(part.column(1))
+        return {"x": [sorted(features(words_of(x))) for x in t], "z": [[sorted(features(w)) for w in twins_of(x)] for x in t], "_order": part.column(2)}
 
-def select_features(rows: DataFrame, limit: int) -> list[str]:
-    """The most telling features of the sample, by chi-square over which texts have them."""
+    # Ids that come again make more rows than labels; the limit holds for rows.
+    return map_rows(rows, ["_toxic", "text", "_order"], run, "y int, x array<int>, z array<array<int>>, _order long").orderBy("_order", "y", "x").limit(size).drop("_order")
 
-    def count(batches):
-        for part in steps(batches, 0):
-            seen: dict[str, list[int]] = {}
-            for t, y in zip(texts(part.column(0)), part.column(1).to_pylist(), strict=True):
-                for f in {f for w in words_of(t) for f in features_of(w)}:
-                    seen.setdefault(f, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_pydict({"f": list(seen), "n0": [v[0] for v in seen.values()], "n1": [v[1] for v in seen.values()]}, schema=pa.schema([("f", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())]))
 
-    all_of = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_toxic").alias("p")).first()
+def telling(rows: DataFrame) -> list[int]:
+    """The buckets whose chi-square statistic, over which texts have them, reaches SIGNIFICANCE; at most BUCKETS."""
+    all_of = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
     n, p = float(all_of["n"] or 0), float(all_of["p"] or 0)
     if not p or n == p:
         return []
     a, b = F.col("a"), F.col("b")
     chi = n * (a * (n - p - b) - b * (p - a)) ** 2 / (p * (n - p) * (a + b) * F.greatest(n - a - b, F.lit(1.0)))
-    out = rows.select("text", "_toxic").mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n1").cast("double").alias("a"), F.sum("n0").cast("double").alias("b"))
-    out = out.where(a + b >= LEAST_TEXTS).withColumn("chi", chi).where(F.col("chi") >= SIGNIFICANCE)
-    return [r["f"] for r in out.orderBy(F.desc("chi"), "f").limit(limit).collect()]
+    out = rows.select("y", F.explode("x").alias("f")).groupBy("f").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
+    return [r["f"] for r in out.where((a + b >= LEAST_TEXTS) & (chi >= SIGNIFICANCE)).select("f").orderBy("f").collect()]
 
 
 class Model:
-    """Weights by feature; scores sets of words."""
-
-    def __init__(self, names: list[str], weights: np.ndarray, bias: float):
-        self.index, self.weights, self.bias = {f: i for i, f in enumerate(names)}, weights, bias
-        self.memo: dict[str, tuple] = {}
+    """Weights by bucket; scores sets of words."""
 
-    def columns(self, words: set[str]) -> set[int]:
-        memo, out = self.memo, set()
-        if len(memo) > 400_000:
-            memo.clear()
-        for w in words:
-            hit = memo.get(w)
-            if hit is None:
-                hit = memo[w] = tuple(self.index[f] for f in features_of(w) if f in self.index)
-            if hit:
-                out.update(hit)
-        return out
+    def __init__(self, names: list[int], weights: np.ndarray, bias: float):
+        self.columns, self.weights, self.bias = Features({f: i for i, f in enumerate(names)}), weights, bias
 
     def score(self, words: set[str]) -> float:
         z = self.bias + sum(self.weights[i] for i in sorted(self.columns(words)))
@@ -121,24 +147,32 @@ class Sparse:
         return np.bincount(self.cols, g[self.rows], self.width)
 
 
+def loss(w: np.ndarray, b: float, x: Sparse, twins: Sparse, of: np.ndarray, y: np.ndarray, penalty: float, ridge: float) -> tuple[float, np.ndarray, float]:
+    """(value, gradient by weights, by bias) of the mean log loss, ridge / 2 * |w|**2 and penalty * mean (s(x) - s(twin))**2 over all twins; `of` is whose each twin is."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    p = sigmoid(x.dot(w) + b)
+    value = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() + ridge / 2 * (w @ w)
+    g = (p - y) / len(y)
+    gb = g.sum()
+    if len(of):
+        q = sigmoid(twins.dot(w) + b)
+        value += penalty * ((p[of] - q) ** 2).mean()
+        d = 2 * penalty * (p[of] - q) / len(of)
+        left, right = d * p[of] * (1 - p[of]), d * q * (1 - q)
+        np.add.at(g, of, left)
+        gb += left.sum() - right.sum()
+    gw = x.back(g) + ridge * w
+    if len(of):
+        gw -= twins.back(right)
+    return value, gw, gb
+
+
 def fit(x: Sparse, twins: Sparse, of: np.ndarray, y: np.ndarray, penalty: float = PENALTY, ridge: float = 2e-4, rounds: int = 500) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam: mean log loss, ridge, and penalty * mean (s(x) - s(swapped x))**2 over the rows `of` that have twins."""
+    """Weights and bias that make `loss` small, by Adam."""
     w, b = np.zeros(x.width), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, rounds + 1):
-        p = sigmoid(x.dot(w) + b)
-        g = (p - y) / len(y)
-        gb = g.sum()
-        if len(of):
-            q = sigmoid(twins.dot(w) + b)
-            d = 2 * penalty * (p[of] - q) / len(of)
-            left, right = d * p[of] * (1 - p[of]), d * q * (1 - q)
-            np.add.at(g, of, left)
-            gb += left.sum() - right.sum()
-        gw = x.back(g) + ridge * w
-        if len(of):
-            gw -= twins.back(right)
+        _, gw, gb = loss(w, b, x, twins, of, y, penalty, ridge)
         grad = np.append(gw, gb)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -146,33 +180,37 @@ def fit(x: Sparse, twins: Sparse, of: np.ndarray, y: np.ndarray, penalty: float
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, limit: int = FEATURES, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the labelled rows that aren't held out; without both labels it scores every text the same.
 
     Null texts are empty, rows with a null id or label are left out, repeated labelled rows count once, an id with both labels as two.
     """
-    rows = sample(docs, labels, size, id_col, text_col)
-    names = select_features(rows, limit)
-
-    def encode(batches):
-        model = Model(names, np.zeros(len(names)), 0.0)
-        for part in steps(batches, 0):
-            x, z = [], []
-            for t in texts(part.column(0)):
-                words = words_of(t)
-                twin = swapped(words)
-                x.append(sorted(model.columns(words)))
-                z.append(sorted(model.columns(twin)) if twin != words else None)
-            yield pa.RecordBatch.from_pydict({"y": part.column(1), "x": x, "z": z}, schema=pa.schema([("y", pa.int32()), ("x", pa.list_(pa.int32())), ("z", pa.list_(pa.int32()))]))
-
-    got = rows.select("text", "_toxic").mapInArrow(encode, "y int, x array<int>, z array<int>").collect()  # at most `size` rows of at most `limit` numbers
+    rows = durable(sample(docs, labels, size, id_col, text_col))
+    names = telling(rows)
+    # At most `size` rows, each with no more than the telling buckets and two twins for each identity term.
+    if names:
+        held = docs.sparkSession.sparkContext.broadcast(frozenset(names))
+
+        def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = held.value
+                x = [[f for f in r if f in keep] for r in batch.column(1).to_pylist()]
+                z = [[[f for f in t if f in keep] for t in r] for r in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.int32())), pa.array(z, pa.list_(pa.list_(pa.int32())))], ["y", "x", "z"])
+
+        got = rows.select("y", "x", "z").mapInArrow(narrowed, "y int, x array<int>, z array<array<int>>").collect()
+    else:
+        got = rows.select("y", F.array().cast("array<int>").alias("x"), F.array().cast("array<array<int>>").alias("z")).collect()
+    forget(rows)
     if not got or not names:
         share = (sum(r["y"] for r in got) + 0.5) / (len(got) + 1.0)
         return Model([], np.zeros(0), float(np.log(share / (1 - share))) if got else -1.0)
-    got.sort(key=lambda r: (r["y"], r["x"], r["z"] or []))  # the same sums whatever the partitions
+    got.sort(key=lambda r: (r["y"], r["x"], r["z"]))  # the same sums whatever the partitions
+    index = {f: i for i, f in enumerate(names)}
+    row = lambda buckets: [index[f] for f in buckets]
     y = np.array([r["y"] for r in got], float)
-    of = np.array([i for i, r in enumerate(got) if r["z"] is not None], np.int64)
-    w, b = fit(Sparse([r["x"] for r in got], len(names)), Sparse([got[i]["z"] for i in of], len(names)), of, y, penalty)
+    of = np.array([i for i, r in enumerate(got) for _ in r["z"]], np.int64)
+    w, b = fit(Sparse([row(r["x"]) for r in got], len(names)), Sparse([row(t) for r in got for t in r["z"]], len(names)), of, y, penalty)
     return Model(names, w, float(b))
 
 
