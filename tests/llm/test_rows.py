@@ -582,3 +582,46 @@ def test_url_branches(spark):
     assert got["/spam/1site.com"]["template"] == "spam/*" and got["/spam/1site.com"]["share"] > 0.8 > 0.2 > got["/news/1site.com"]["share"]
     assert got["/tag/absite.com"]["template"] == "tag/*" and got["/spamsite.com"]["verdict"] == "block"
     assert got["/spam/1other.com"]["share"] == pytest.approx(61 / 122, abs=1e-6)
+
+
+def against_sql(spark, urls, tmp_path):
+    """(rows of judge, whether they are those of the SQL)."""
+    import duckdb
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge(df).collect()
+    con = duckdb.connect()
+    pages = df.toPandas()
+    con.register("pages", pages)
+    out = con.execute(url_filter.SQL)
+    names = [c[0] for c in out.description]
+    return got, sorted(map(str, (tuple(r[c] for c in names) for r in got))) == sorted(map(str, out.fetchall()))
+
+
+def test_url_trees_against_sql(spark, tmp_path):
+    """Nested variable places, siblings that are alike, and repeated rows."""
+    name = lambda i: "".join(chr(97 + (i * 7 + k * (i % 5 + 1)) % 26) for k in range(5)) + chr(97 + i % 26) + chr(97 + i // 26)
+    urls = [f"http://big.net/user/{name(u)}/{name(40 + u * 3 + k)}" for u in range(60) for k in range(2)]  # each user has few slugs, all have many
+    for lang in ("es", "it", "pt"):
+        urls += [f"http://example.org/{lang}/{s}/{name(i)}" for s in ("a", "b") for i in range(12)]
+    urls += [f"http://x.com/{lang}/p{i % 3}" for lang in ("de", "fr") for i in range(20)] + [f"http://y.com/{s}/q" for s in ("de", "fr", "de", "aa")]
+    urls += [u for u in urls[:30] for _ in range(2)] + [None, "", "http://x.com", "://", "a:///*/b"]
+    got, same = against_sql(spark, urls, tmp_path)
+    assert same
+    assert {r["template"] for r in got if r["host"] == "big.net"} == {"user/*/*"}
+    assert {r["branch"] for r in got if r["host"] == "example.org" and r["path"].startswith("/es/")} and len({r["share"] for r in got}) > 2
+
+
+def test_similar_siblings_are_one_branch(spark):
+    rules = tuple(("block", f"s.com/{x}/bad") for x in ("a", "b", "c")) + tuple(("allow", f"s.com/{x}/") for x in ("a", "b", "c", "d", "e"))
+    urls = [f"http://s.com/{x}/bad{i}" for x in "abc" for i in range(9)] + [f"http://s.com/{x}/ok{i}" for x in "abc" for i in range(3)] + [f"http://s.com/{x}/ok{i}" for x in "de" for i in range(30)]
+    got = {r["path"]: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert {got[f"/{x}/bad1"]["branch"].split("/")[0] for x in "abc"} == {"{+}"} and {got[f"/{x}/ok1"]["branch"].split("/")[0] for x in "de"} == {"{-}"}
+    assert got["/a/bad1"]["share"] == got["/b/bad1"]["share"] > 0.5 > got["/d/ok1"]["share"] == got["/e/ok2"]["share"]
+
+
+def test_very_long_urls(spark):
+    """100 KB of segments, one segment of 100 KB, and the same row many times."""
+    urls = ["http://long.com" + "/ab" * 33_000, "http://long.com" + "/ab" * 33_000, "http://long.com/" + "x" * 100_000, "http://" + "h" * 50_000 + "/p" * 25_000, "http://long.com/ab"] + ["http://same.com/a/b"] * 300
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(got) == len(urls) and {r["template"].count("/") for r in got if r["page_id"] < 2} == {32_999} and len({r["share"] for r in got}) == 1
