@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitframe.llm import decontaminate, jaccard_join, mix_sources, secrets, toxicity
-from orbitframe.llm.common import table, tune
+from orbitframe.llm.common import durable, forget, table, tune
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The rows of the last stage.  Each other stage is written to the shared folder, so that none is run again by the scans of those after it."""
+    docs, held = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+        if held is not None:
+            forget(held)
+        held = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -30,6 +30,7 @@ def suffix_array(text: list[int]) -> list[int]:
 
     Phase 1 takes the groups from the highest down.  prev[i] is the nearest place left of i whose group is lower;
     places that are someone's prev move to new groups above the rest of theirs, those with more followers higher.
+    A group's places are taken in ascending order; sorting them is all that isn't linear, and most groups have one place.
     When all are done, a group holds the suffixes with one Lyndon prefix.  Phase 2 scans the order upwards and
     puts the suffix before each one, and along its prev pointers all unplaced ones, next in their groups.
     """
@@ -166,7 +167,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     keeps its own row.  Rows with a null id stay as they are and remove nothing.  Other columns are left out.
     """
     rows = numbered(docs, id_col, text_col)
-    cutter = Cutter(LENGTH, GRAM, False, shard_count(docs))
+    cutter = Cutter(LENGTH, GRAM, False, shard_count(rows))
     return judged(rows, cutter, solve, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

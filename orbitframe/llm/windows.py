@@ -16,6 +16,7 @@ A shard returns for each window the smallest id of a document that has it.
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
 import re
 from collections.abc import Callable, Iterator
@@ -29,14 +30,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import durable, mix64, rolling
+from .common import durable, loose, mix64, rolling
 
 #: Bytes of texts that are hashed together, and that travel together, but for single texts that are longer.
 CHUNK, FLUSH = 1_000_000, 8_000_000
 #: Occurrences of a segment within a chunk that travel with it.
 FEW = 4
-#: Bytes of input files for each shard, and least number of shards.
-SHARD_BYTES, LEAST_SHARDS = 3_000_000, 8
+#: Bytes of texts for each shard, and least number of shards.
+SHARD_BYTES, LEAST_SHARDS = 5_000_000, 8
+#: Shards that a chunk of texts is dealt to at once; more are dealt in two steps, by groups of shards first.
+FAN = 4_096
+#: Bytes of segments that the second step deals together.
+REFLUSH = 32_000_000
 #: Texts of the sample that common grams are counted in, bytes of each at most, and most common grams.
 SAMPLE, SAMPLE_BYTES, COMMON = 500, 8_000, 4_096
 #: Tokens that a shard solves at a time.
@@ -141,6 +146,7 @@ class Cutter:
 
     def __init__(self, length: int, gram: int, words: bool, shards: int):
         self.length, self.gram, self.words, self.shards = length, gram, words, shards
+        self.per = 1 if shards <= FAN else math.isqrt(shards - 1) + 1  # shards of a group
         self.common = np.empty(0, np.uint64)
 
     def cut(self, ids: np.ndarray, base: np.ndarray, rows: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -193,23 +199,60 @@ class Cutter:
         own = order[~crowd[group]]
         own = own[np.argsort(rank[group[~crowd[group]]], kind="stable")]
         heads, crowd, least, meet, kept = heads[by], crowd[by], least[by], meet[by], np.where(crowd, 0, times)[by]
-        edges, to = np.searchsorted(shard[heads], np.arange(self.shards + 1)), np.concatenate([[0], np.cumsum(kept)])
-        for s in np.flatnonzero(np.diff(edges)).tolist():
-            i, j = edges[s], edges[s + 1]
-            h, c, o = heads[i:j], crowd[i:j], own[to[i] : to[j]]
-            yield s, 0, pack(raw[ragged(start[h], size[h])], size[h], core[h], kept[i:j], doc[o], offset[o], least[i:j][c], meet[i:j][c])
-        far = order[np.isin(group, np.flatnonzero(times > FEW))] if (times > FEW).any() else order[:0]
+        home, far = shard[heads], order[np.isin(group, np.flatnonzero(times > FEW))] if (times > FEW).any() else order[:0]
+        per = self.per
+        for i, j, columns in dealt(home // per, raw, start[heads], size[heads], core[heads], kept, doc[own], offset[own], least[crowd], meet[crowd]):
+            yield (int(home[i]), 0, pack(*columns)) if per == 1 else (int(home[i]) // per, 5, pack(*columns, home[i:j]))
         if len(far):
             goal = (mix64(same[far] ^ pick) % np.uint64(self.shards)).astype(np.int64)
+            for s in np.unique(goal // per).tolist():
+                own = goal // per == s
+                m = far[own]
+                yield (s, 1, pack(same[m], doc[m], offset[m])) if per == 1 else (s, 6, pack(same[m], doc[m], offset[m], goal[own]))
+
+
+def dealt(home: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray, core: np.ndarray, kept: np.ndarray, doc: np.ndarray, offset: np.ndarray, least: np.ndarray, meet: np.ndarray) -> Iterator[tuple[int, int, tuple]]:
+    """(first, end, columns) of the segments of each home; segments are in the order of homes, kept is how many of doc and offset each has, and those with none have a least and a meet."""
+    to, crowd = np.concatenate([[0], np.cumsum(kept)]), np.concatenate([[0], np.cumsum(kept == 0)])
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(home) != 0, [True]]))
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own, many = slice(to[i], to[j]), slice(crowd[i], crowd[j])
+        yield i, j, (raw[ragged(start[i:j], size[i:j])], size[i:j], core[i:j], kept[i:j], doc[own], offset[own], least[many], meet[many])
+
+
+def redealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The second step: rows for groups of shards as rows for shards; what is held at once is bounded, however large a group."""
+    held: dict[int, list] = {5: [], 6: []}
+    total = 0
+
+    def flush():
+        if held[5]:
+            raw, size, core, kept, doc, offset, least, meet, shard = (np.concatenate([p[i] for p in held[5]]) for i in range(9))
+            start, to, crowd = np.cumsum(size) - size, np.cumsum(kept) - kept, np.cumsum(kept == 0) - (kept == 0)
+            by = np.argsort(shard, kind="stable")
+            own, many = ragged(to[by], kept[by]), crowd[by][kept[by] == 0]
+            for i, _, columns in dealt(shard[by], raw, start[by], size[by], core[by], kept[by], doc[own], offset[own], least[many], meet[many]):
+                yield int(shard[by[i]]), 0, pack(*columns)
+        if held[6]:
+            same, doc, offset, goal = (np.concatenate([p[i] for p in held[6]]) for i in range(4))
             for s in np.unique(goal).tolist():
-                m = far[goal == s]
-                yield s, 1, pack(same[m], doc[m], offset[m])
+                yield s, 1, pack(same[goal == s], doc[goal == s], offset[goal == s])
+        held[5], held[6] = [], []
+
+    for batch in batches:
+        for k, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            held[k].append(unpack(b))
+            total += sum(x.nbytes for x in held[k][-1])
+            if total >= REFLUSH:
+                yield from emit(flush())
+                total = 0
+    yield from emit(flush())
 
 
-def shard_count(df: DataFrame) -> int:
-    """Grows with the bytes that the scan reads, by the planner's figure."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(LEAST_SHARDS, min(size // SHARD_BYTES, 1 << 24))
+def shard_count(docs: DataFrame) -> int:
+    """Grows with the bytes of docs(text), which are counted: a planner's figure may be off by any factor."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+    return max(LEAST_SHARDS, int(size) // SHARD_BYTES)
 
 
 def common_grams(docs: DataFrame, cutter: Cutter) -> np.ndarray:
@@ -391,7 +434,7 @@ WIDE, LETTERS = 7, 6
 
 
 def stretches(found: np.ndarray, first: np.ndarray, width: np.ndarray, doc: np.ndarray, offset: np.ndarray, length: int) -> Iterator[tuple[int, int, bytes]]:
-    """Covered stretches (start << 12 | tokens) of occurrences: runs of windows that a smaller id has too."""
+    """Covered stretches (id, first token, tokens) of occurrences: runs of windows that a smaller id has too."""
     for i in range(0, len(first), 20_000):
         f, w, d, o = first[i : i + 20_000], width[i : i + 20_000], doc[i : i + 20_000], offset[i : i + 20_000]
         hit = found[ragged(f, w)] < np.repeat(d, w)
@@ -402,8 +445,7 @@ def stretches(found: np.ndarray, first: np.ndarray, width: np.ndarray, doc: np.n
         begins = hit & np.concatenate([[True], ~hit[:-1] | (of[1:] != of[:-1])])
         ends = hit & np.concatenate([~hit[1:] | (of[1:] != of[:-1]), [True]])
         a, z = np.flatnonzero(begins), np.flatnonzero(ends)
-        code = ((o[of[a]] + place[a]) << 12) | (place[z] - place[a] + length)
-        yield -1, 2, pack(d[of[a]], code)
+        yield -1, 2, pack(d[of[a]], o[of[a]] + place[a], place[z] - place[a] + length)
 
 
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
@@ -432,8 +474,9 @@ def judged(docs: DataFrame, cutter: Cutter, solve: Solver, finish: Finish, schem
     fields = to_arrow_schema(T._parse_datatype_string(schema))
     tokens = cutter.words
 
-    def home(doc: np.ndarray) -> np.ndarray:
-        return (mix64(doc.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+    def home(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Where a row is put together: by its id and its number among the rows of that id."""
+        return (mix64(doc.view(np.uint64) + mix64((place >> ROW_BITS).astype(np.uint64))) % np.uint64(homes)).astype(np.int64)
 
     def sent_home(rows):
         """Stretches go to the homes of their documents."""
@@ -441,13 +484,13 @@ def judged(docs: DataFrame, cutter: Cutter, solve: Solver, finish: Finish, schem
             if k != 2:
                 yield s, k, b
                 continue
-            doc, code = unpack(b)
-            h = home(doc)
+            doc, begin, width = unpack(b)
+            h = home(doc, begin)
             order = np.argsort(h, kind="stable")
             edges = np.searchsorted(h[order], np.arange(homes + 1))
             for i in np.flatnonzero(np.diff(edges)).tolist():
                 m = order[edges[i] : edges[i + 1]]
-                yield i, 2, pack(doc[m], code[m])
+                yield i, 2, pack(doc[m], begin[m], width[m])
 
     def first(batches):
         for own, rows in by_shard(batches):
@@ -487,7 +530,7 @@ def judged(docs: DataFrame, cutter: Cutter, solve: Solver, finish: Finish, schem
             size, b = np.array([len(r) for r in rows], np.int64), np.array(base, np.int64)
             raw = np.frombuffer(b"".join(rows), np.uint8)
             start = np.cumsum(size) - size
-            h = np.where(null, np.arange(len(doc)) % homes, home(doc))
+            h = np.where(null, np.arange(len(doc)) % homes, home(doc, b))
             for s in np.unique(h).tolist():
                 m = np.flatnonzero(h == s)
                 yield s, 4, pack(raw[ragged(start[m], size[m])], size[m], doc[m], b[m], null[m].astype(np.uint8))
@@ -504,9 +547,9 @@ def judged(docs: DataFrame, cutter: Cutter, solve: Solver, finish: Finish, schem
     def last(batches):
         for _, rows in by_shard(batches):
             told = [unpack(b) for k, b in rows if k == 2]
-            doc, code = (np.concatenate([t[i] for t in told]) for i in range(2)) if told else (np.empty(0, np.int64),) * 2
-            order = np.argsort(doc, kind="stable")
-            doc, code = doc[order], code[order]
+            doc, begin, width = (np.concatenate([t[i] for t in told]) for i in range(3)) if told else (np.empty(0, np.int64),) * 3
+            order = np.lexsort((begin, doc))
+            doc, begin, width = doc[order], begin[order], width[order]
             for k, b in rows:
                 if k != 4:
                     continue
@@ -516,13 +559,16 @@ def judged(docs: DataFrame, cutter: Cutter, solve: Solver, finish: Finish, schem
                 made = []
                 for i in range(len(ids)):
                     text = raw[at[i] : at[i] + size[i]].tobytes()
-                    own = code[lo[i] : hi[i]] if not null[i] else code[:0]
-                    mask = stretch_mask(own, int(base[i]), len(WORD_BYTES.findall(text)) if tokens else len(text)) if len(own) else None
+                    x, z = (lo[i], lo[i]) if null[i] else lo[i] + np.searchsorted(begin[lo[i] : hi[i]], [base[i], base[i] + (1 << ROW_BITS)])
+                    mask = stretch_mask(begin[x:z] - base[i], width[x:z], len(WORD_BYTES.findall(text)) if tokens else len(text)) if z > x else None
                     made.append((None if null[i] else int(ids[i]), *finish(text, mask)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), fields, strict=True)], schema=fields)
 
     blob = "shard int, kind int, columns binary"
-    one = durable(segments(docs.where("doc_id is not null"), cutter).repartition("shard").sortWithinPartitions("shard").mapInArrow(first, blob))
+    cut = segments(docs.where("doc_id is not null"), cutter)
+    if cutter.per > 1:
+        cut = cut.repartition("shard").mapInArrow(redealt, blob)
+    one = durable(cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(first, blob))
     crowds = one.where("kind in (1, 3)").repartition("shard").sortWithinPartitions("shard").mapInArrow(second, blob)
     home_rows = one.where("kind = 2").unionByName(crowds).unionByName(docs.mapInArrow(homed, blob))
     return home_rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(last, schema)
@@ -530,35 +576,47 @@ def judged(docs: DataFrame, cutter: Cutter, solve: Solver, finish: Finish, schem
 
 def merged(rows):
     """Stretches of one shard in one piece; the other rows as they are."""
-    docs, codes = [], []
+    told = []
     for s, k, b in rows:
         if k != 2:
             yield s, k, b
             continue
-        d, c = unpack(b)
-        docs.append(d), codes.append(c)
-    if docs:
-        yield -1, 2, pack(np.concatenate(docs), np.concatenate(codes))
+        told.append(unpack(b))
+    if told:
+        yield -1, 2, pack(*(np.concatenate([t[i] for t in told]) for i in range(3)))
+
+
+#: Rows of one id are this many bits of places apart: a text has less than 2 GB.
+ROW_BITS = 31
+#: Parts in which the rows of one id are numbered.
+SALTS = 256
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and base: 0, or for ids with several rows the bytes of those before, so that stretches tell them apart."""
+    """doc_id, text and base: 0, or for ids with several texts the number of the text times 2**ROW_BITS, so that places tell them apart.
+
+    Only digests are numbered, each id's in SALTS parts, so an id may have any number of rows.  Rows with one id and
+    text share a number: they have the same stretches.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     again = rows.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).collect()
     if not again:
         return rows.withColumn("base", F.lit(0).cast("long"))
-    # Null ids aren't compared; each is a partition of its own.
-    lone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    before = Window.partitionBy("doc_id", "_lone").orderBy(F.xxhash64("text"), "text").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    return rows.withColumn("_lone", lone).withColumn("base", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long")).drop("_lone")
-
-
-def stretch_mask(codes: np.ndarray, base: int, n: int) -> np.ndarray:
+    rows = rows.withColumn("_digest", F.md5(F.coalesce("text", F.lit(""))))
+    known = rows.where("doc_id is not null").select("doc_id", "_digest").distinct()
+    several = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    known = known.join(loose(several, "doc_id"), "doc_id").withColumn("_salt", F.pmod(F.xxhash64("_digest"), F.lit(SALTS)))
+    within = known.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_salt").orderBy("_digest")))
+    parts = known.groupBy("doc_id", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("doc_id").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)  # SALTS rows of an id at most
+    parts = parts.select("doc_id", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    base = within.join(loose(parts, "doc_id"), ["doc_id", "_salt"]).select("doc_id", "_digest", ((F.col("_k") + F.col("_from")) * (1 << ROW_BITS)).alias("_base"))
+    return rows.join(loose(base, "doc_id", "_digest"), ["doc_id", "_digest"], "left").select("doc_id", "text", F.coalesce("_base", F.lit(0)).cast("long").alias("base"))
+
+
+def stretch_mask(begin: np.ndarray, width: np.ndarray, n: int) -> np.ndarray:
     """Which of a row's n tokens are covered."""
     edge = np.zeros(n + 1, np.int32)
-    a, size = (codes >> 12) - base, codes & 4095
-    own = (a >= 0) & (a + size <= n)
-    np.add.at(edge, a[own], 1)
-    np.add.at(edge, (a + size)[own], -1)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, begin + width, -1)
     return np.cumsum(edge[:-1]) > 0

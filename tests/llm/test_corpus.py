@@ -101,6 +101,32 @@ def test_common_grams_change_shards_but_not_results(table, words):
     assert isinstance(windows.common_grams(docs, cutter), np.ndarray)
 
 
+def test_shards_follow_counted_bytes(spark):
+    assert windows.shard_count(spark.createDataFrame([("one row",)], "text string")) == windows.LEAST_SHARDS
+    half = spark.range(1_000).selectExpr("repeat('ab', 10000) as text")
+    both = half.crossJoin(half.select("text").limit(1).withColumnRenamed("text", "other")).select("text")
+    assert windows.shard_count(half) == windows.shard_count(both) == max(windows.LEAST_SHARDS, 20_000_000 // windows.SHARD_BYTES)
+
+
+@pytest.mark.parametrize(("module", "words"), [(suffix_dedup, False), (fm_dedup, True)])
+def test_long_texts_hot_ids_and_dealing_in_two_steps(table, monkeypatch, module, words):
+    """Texts of 200 KB that share passages, an id with a third of all rows, and more shards than a chunk is dealt to."""
+    monkeypatch.setattr(windows, "FAN", 4)
+    monkeypatch.setattr(windows, "REFLUSH", 30_000)
+    monkeypatch.setattr(windows, "SHARD_BYTES", 10_000)
+    monkeypatch.setattr(windows, "SALTS", 3)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    shared = [" ".join(word() for _ in range(60)) for _ in range(5)]
+    long = lambda: " ".join(x for _ in range(100) for x in (" ".join(word() for _ in range(380)), r.choice(shared) if r.random() < 0.3 else word()))
+    rows = [(i, long()) for i in range(2)] + [(7, " ".join([word(), shared[i % 5], word()])) for i in range(40)] + [(i, r.choice(shared)) for i in range(20, 40)]
+    rows += [(3, "ab " * 30_000), (4, "ab " * 30_000)] + corpus(3)[:60]
+    cols = ("n_words" if words else "n_bytes", "n_removed", "kept_sha256")
+    got = sorted(((x["doc_id"], *(x[c] for c in cols)) for x in module.dedup(table(rows)).collect()), key=repr)
+    assert got == sorted(((i, n, g, h) for i, n, g, _, h in plain_dedup(rows, module.LENGTH, words)), key=repr)
+    assert max(len(t or "") for _, t in rows) > 150_000
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize(("module", "words"), [(suffix_dedup, False), (fm_dedup, True)])
 def test_window_dedup(table, monkeypatch, seed, module, words):

@@ -1,9 +1,15 @@
+import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from orbitframe.llm import decontaminate, queries, secrets
+from orbitframe.llm import decontaminate, mix_sources, queries, secrets, toxicity
+
+from .test_corpus import plain_links
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +47,39 @@ def test_stages(spark, sf, tmp_path):
     assert sorted((r["doc_id"], r["mix_copy"], r["text"]) for r in one.collect()) == sorted((r["doc_id"], r["mix_copy"], r["text"]) for r in seen.collect())
 
 
+def plain_pipeline(spark, d, docs):
+    """(doc_id, copy, text) of the rows, each stage with loops over all rows."""
+    rows = [r for r in docs.collect()]
+    model = toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    rows = [r for r in rows if model.score(toxicity.words_of(r["text"])) < 0.5]
+    least = {c for _, c, _ in plain_links([(r["doc_id"], r["text"]) for r in rows])}
+    rows = [r for r in rows if r["doc_id"] in least]
+    passages = set()
+    for item in spark.read.parquet(f"{d}/benchmark.parquet").collect():
+        words = item["text"].split()
+        passages |= {" ".join(words[i : i + 13]) for i in range(len(words) - 12)}
+    rows = [r for r in rows if not any(p in " ".join(r["text"].split()) for p in passages)]
+    texts = {r["doc_id"]: re.sub(r"password=[A-Za-z0-9+/_.=-]{6,}", "[SECRET]", r["text"]) for r in rows}
+    count = Counter(r["source"] for r in rows)
+    weight = {s: mix_sources.WEIGHTS.get(s, 1.0) for s in count}
+    out = []
+    for r in rows:
+        rate = len(rows) * weight[r["source"]] / sum(weight.values()) / count[r["source"]]
+        u = (int(hashlib.md5(f"{mix_sources.SEED}:{r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        k, total = 0, math.exp(-rate)
+        while total < u:
+            k += 1
+            total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        out += [(r["doc_id"], c + 1, texts[r["doc_id"]]) for c in range(k)]
+    return sorted(out)
+
+
+def test_run_against_plain_stages(spark, sf):
+    d, docs, _ = sf
+    want = plain_pipeline(spark, d, docs)
+    assert sorted((r["doc_id"], r["mix_copy"], r["text"]) for r in corpus_pipeline.run(spark, d).collect()) == want and len(want) > 100
+
+
 def test_stages_take_odd_rows(spark, sf, odd):
     docs = odd
     for _, stage in corpus_pipeline.STAGES:
