@@ -27,7 +27,14 @@ def _ring(points: Any) -> Ring:
 
 
 def parse_geometry(value: Any) -> list[Ring]:
-    """Exterior rings of a Polygon, MultiPolygon, Feature, FeatureCollection or GeometryCollection; holes are dropped."""
+    """Exterior rings of a Polygon, MultiPolygon, Feature, FeatureCollection or GeometryCollection; holes are dropped, and an area without any ring is an error."""
+    rings = _rings_of(value)
+    if not rings:
+        raise PlanError("the geometry has no polygon")
+    return rings
+
+
+def _rings_of(value: Any) -> list[Ring]:
     if isinstance(value, str):
         try:
             value = json.loads(value)
@@ -35,11 +42,11 @@ def parse_geometry(value: Any) -> list[Ring]:
             raise PlanError("the geometry isn't JSON") from e
     kind = value.get("type") if isinstance(value, dict) else None
     if kind == "Feature":
-        return parse_geometry(value.get("geometry"))
+        return _rings_of(value.get("geometry"))
     if kind == "FeatureCollection":
-        return [r for f in value.get("features") or [] for r in parse_geometry(f)]
+        return [r for f in value.get("features") or [] for r in _rings_of(f)]
     if kind == "GeometryCollection":
-        return [r for g in value.get("geometries") or [] for r in parse_geometry(g)]
+        return [r for g in value.get("geometries") or [] for r in _rings_of(g)]
     if kind == "Polygon" and value.get("coordinates"):
         return [_ring(value["coordinates"][0])]
     if kind == "MultiPolygon" and value.get("coordinates"):

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..errors import PlanError
 
 
-def ordered(acq: DataFrame, by: list[str] | None = None) -> DataFrame:
+def ordered(acq: DataFrame, by: list[str]) -> DataFrame:
     """frame (0, 1 ... in time, undated last) and label (the date, else the first 12 characters of the id) of each series."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("ts").isNull(), "ts", "href")
+    if not by:
+        raise PlanError("name the columns of a series; the whole catalog as one would be one task")
+    w = Window.partitionBy(*by).orderBy(F.col("ts").isNull(), "ts", "href")
     return acq.withColumn("frame", F.row_number().over(w) - 1).withColumn("label", F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.substring("id", 1, 12)))
 
 

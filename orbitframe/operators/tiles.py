@@ -110,7 +110,10 @@ def tile_ring(ring: list[tuple[float, float]], zoom: int, x: int, y: int) -> lis
 
 
 def tile_ids(acq: DataFrame, zoom: int) -> DataFrame:
-    """acq with x, y: a row for each tile that its box touches, or for its centre below FOOTPRINT_ZOOM; wide boxes go."""
+    """acq with x, y: a row for each tile that its box touches, or for its centre below FOOTPRINT_ZOOM.
+
+    A box wider than half the globe wraps around the antimeridian: it has a centre, but no footprint.
+    """
     if zoom < FOOTPRINT_ZOOM:
         fx, fy = tile_fraction((F.col("min_lon") + F.col("max_lon")) / 2, (F.col("min_lat") + F.col("max_lat")) / 2, zoom)
         lo_x, hi_x, lo_y, hi_y = fx, fx, fy, fy
@@ -119,14 +122,14 @@ def tile_ids(acq: DataFrame, zoom: int) -> DataFrame:
         hi_x, lo_y = tile_fraction(F.col("max_lon"), F.col("max_lat"), zoom)
     top = F.lit(2**zoom - 1)
     cut = lambda c: F.greatest(F.lit(0), F.least(top, F.floor(c).cast("int")))
-    rows = acq.where("min_lon is not null and max_lon - min_lon <= 180")
+    rows = acq.where("min_lon is not null" if zoom < FOOTPRINT_ZOOM else "min_lon is not null and max_lon - min_lon <= 180")
     return rows.withColumn("x", F.explode(F.sequence(cut(lo_x), cut(hi_x)))).withColumn("y", F.explode(F.sequence(cut(lo_y), cut(hi_y))))
 
 
 def encode_tiles(acq: DataFrame, zoom: int, layer: str, properties: list[str]) -> DataFrame:
     """zoom, x, y, tile_id, sha256 and mvt (gzip) for each tile that has a feature."""
     rows = tile_ids(acq, zoom).withColumn("tile_id", hilbert_id(zoom, F.col("x"), F.col("y")))
-    cols = ["x", "y", "tile_id", "href", "min_lon", "min_lat", "max_lon", "max_lat", *properties]
+    cols = ["x", "y", "tile_id", "href", "min_lon", "min_lat", "max_lon", "max_lat", *(["rings"] if "rings" in acq.columns else []), *properties]
 
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
@@ -137,8 +140,11 @@ def encode_tiles(acq: DataFrame, zoom: int, layer: str, properties: list[str]) -
             if zoom < FOOTPRINT_ZOOM:
                 f = tile_point((w + e) / 2, (s + n) / 2, zoom, x, y)
                 features.append((1, [[f]], props))
-            elif ring := tile_ring([(w, s), (e, s), (e, n), (w, n)], zoom, x, y):
-                features.append((3, [ring], props))
+            else:
+                own = r.get("rings")
+                own = [[(p["lon"], p["lat"]) for p in ring] for ring in own] if own is not None and len(own) else [[(w, s), (e, s), (e, n), (w, n)]]
+                if parts := [t for ring in own if (t := tile_ring(ring, zoom, x, y))]:
+                    features.append((3, parts, props))
         body = gzip.compress(encode_layer(layer, features), mtime=0) if features else b""
         return pd.DataFrame({"zoom": [zoom], "x": [x], "y": [y], "tile_id": [int(pdf["tile_id"].iloc[0])], "sha256": [hashlib.sha256(body).hexdigest()], "mvt": [body]})
 

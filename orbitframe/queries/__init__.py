@@ -16,7 +16,7 @@ _DATED = {
     **{name: ("first_date", "last_date") for name in ("catalog_stats", "facets")},
     **{name: ("first", "last") for name in sites.REGISTERED},
     "sites_filtered": ("last",),
-    **{name: ("acq_date",) for name in ("upsert_latest", "readthrough_union", "stac_documents")},
+    **{name: ("acq_date",) for name in ("upsert_latest", "readthrough_union", "stac_documents", "refresh_overlap", "live_search", "newest_batch")},
     **{name: ("day",) for name in ("daily_budget", "daily_counts")},
 }
 

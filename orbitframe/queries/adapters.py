@@ -1,10 +1,14 @@
 """The test tables as the engine's tables: deterministic arithmetic that both engines share.
 
-acquisitions come from events, cube cells from lineitem; see the columns below.
+acquisitions come from events, cube cells from lineitem; see the columns below.  Each fourth acquisition has a
+footprint: the lower left half of its box.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +44,7 @@ def acquisitions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (0.25 * (1 + k % 4)).cast("double").alias("res_range"),
         (0.25 * (1 + k % 3)).cast("double").alias("res_azimuth"),
         F.when(k % 7 != 0, F.concat(F.lit("place "), (u % 20).cast("string"))).alias("place"),
-        F.lit(None).cast("array<array<struct<lon:double,lat:double>>>").alias("rings"),
+        F.when(k % 4 == 1, F.array(F.array(*[F.struct((lon + x).cast("double").alias("lon"), (lat + y).cast("double").alias("lat")) for x, y in ((0, 0), (2, 0), (0, 2))]))).alias("rings"),
         "value",
         "event_id",
     )
@@ -71,3 +75,13 @@ def cells(spark: SparkSession, sf_dir: str, nodata: bool = False) -> DataFrame:
 def cells_sql(nodata: bool = False) -> str:
     value = "CASE WHEN (l_suppkey % 32 + l_partkey % 32) % 17 = 0 THEN 0 ELSE avg(l_extendedprice) END" if nodata else "avg(l_extendedprice)"
     return f"cells AS (SELECT (year(l_shipdate) - 1995)::INT AS pass_idx, (l_suppkey % 32)::INT AS row, (l_partkey % 32)::INT AS col, {value} AS value FROM lineitem GROUP BY year(l_shipdate), l_suppkey % 32, l_partkey % 32)"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or in a local session without one a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="scratch-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"

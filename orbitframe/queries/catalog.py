@@ -40,6 +40,28 @@ def _spaced(spark, sf_dir):
 
 TRIANGLE = {"type": "Polygon", "coordinates": [[[-100, -60], [100, -60], [0, 70], [-100, -60]]]}
 
+
+
+def _fuzzy(spark, sf_dir):
+    """Sites named "Site n", by a name with a typo."""
+    a = acquisitions(spark, sf_dir).withColumn("task", F.concat(F.lit("Site "), "task"))
+    return search.search(a, SearchSpec(area="sitte 10", fuzzy=True)).select("href", F.substring("task", 6, 20).alias("task"), "acq_date")
+
+
+def _polygon_sql() -> str:
+    """Two convex shapes meet unless a line along an edge of one parts them: edges of the triangle, of the box, and the slope of a footprint."""
+    t = TRIANGLE["coordinates"][0]
+    corners = (("min_lon", "min_lat"), ("max_lon", "min_lat"), ("min_lon", "max_lat"), ("max_lon", "max_lat"))  # a footprint lacks the last
+    parts = []
+    for (ax, ay), (bx, by) in zip(t, t[1:], strict=False):
+        beyond = [f"(({bx} - ({ax})) * ({y} - ({ay})) - ({by} - ({ay})) * ({x} - ({ax}))) < 0" for x, y in corners]
+        parts.append(f"({' AND '.join(beyond[:3])} AND (event_id % 4 = 1 OR {beyond[3]}))")
+    xs, ys = [p[0] for p in t], [p[1] for p in t]
+    parts.append(f"NOT (min_lon <= {max(xs)} AND max_lon >= {min(xs)} AND min_lat <= {max(ys)} AND max_lat >= {min(ys)})")
+    parts.append("(event_id % 4 = 1 AND " + " AND ".join(f"({x}) - max_lon + ({y}) - min_lat > 0" for x, y in t[:3]) + ")")
+    return _sql(f"NOT ({' OR '.join(parts)})")
+
+
 REGISTERED = {
     "search_date": (_found(start="2024-01-10", end="2024-01-12"), _sql("acq_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'")),
     "search_substring": (_found(area="12"), _sql("contains(lower(task), '12')")),
@@ -53,8 +75,9 @@ REGISTERED = {
     "search_max_per_task": (_found(max_per_task=3, products="GEC"), f"WITH {ACQ} SELECT href, task, acq_date FROM acq WHERE list_contains(products, 'GEC') QUALIFY row_number() OVER (PARTITION BY task ORDER BY acq_date NULLS FIRST, href) <= 3"),
     "search_limit": (_found(area="3", limit=17), f"WITH {ACQ} SELECT href, task, acq_date FROM acq WHERE contains(task, '3') ORDER BY {_ORDER} LIMIT 17"),
     "search_page": (_page, f"WITH {ACQ} SELECT href, task, acq_date, (SELECT count(*) FROM acq WHERE contains(task, '1')) > 65 AS has_next FROM acq WHERE contains(task, '1') ORDER BY {_ORDER} LIMIT 25 OFFSET 40"),
-    "search_polygon": (_found(intersects=TRIANGLE), None),
-    "search_fuzzy": (_found(area="site 101", fuzzy=True), None),
+    "search_polygon": (_found(intersects=TRIANGLE), _polygon_sql()),
+    # a token of "1", any digit and "0" is as similar to "10" as the limit of 0.8 asks: 2 * 2 / 5
+    "search_fuzzy": (_fuzzy, _sql("contains(task, '10') OR regexp_full_match(task, '1.0')")),
     "lookup_id": (lambda s, d: search.get(acquisitions(s, d), "id42").select(*_OUT), _sql("id = 'id42'")),
     "resolve_items": (lambda s, d: search.in_request_order(acquisitions(s, d), ["id9", "id3", "id700"]).select(*_OUT), _sql("id IN ('id9', 'id3', 'id700')")),
     "catalog_stats": (

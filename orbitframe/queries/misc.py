@@ -9,8 +9,8 @@ from ..functions import items, matching
 from ..operators import catalog, provenance, search, tiles, vectors
 from ..plans.spec import SearchSpec
 from ..sources import products
-from ..streaming import budget
-from .adapters import ACQ, acquisitions, read
+from ..streaming import budget, refresh, watch
+from .adapters import ACQ, acquisitions, read, scratch
 
 
 def _upsert(spark, sf_dir):
@@ -34,7 +34,7 @@ def _thumbs(spark, sf_dir):
     return m.select("href", F.md5("thumbnail").alias("digest"), "thumb_asset", "thumb_size")
 
 
-_THUMBS = f"""WITH {ACQ}, m AS (SELECT href, event_id AS k, CASE WHEN event_id % 4 != 0 THEN href END AS t, CASE WHEN event_id % 4 != 0 THEN 'GEC' END AS a, CASE WHEN event_id % 4 != 0 THEN (event_id % 100)::INT END AS s FROM acq WHERE event_id < 3000),
+_THUMBS = f"""WITH {ACQ}, m AS (SELECT href, event_id AS k, CASE WHEN event_id % 4 != 0 THEN href END AS t, CASE WHEN event_id % 4 != 0 THEN 'GEC' END AS a, CASE WHEN event_id % 4 != 0 THEN (event_id % 100)::INT END AS s FROM acq),
 j AS (SELECT *, k % 2 = 0 AND (t IS NULL OR (50 > s AND (CASE WHEN k % 6 = 0 THEN 'CSI' ELSE 'GEC' END) IS NOT DISTINCT FROM a)) AS take FROM m)
 SELECT href, md5(CASE WHEN take THEN 'new ' || href ELSE t END) AS digest, CASE WHEN take THEN CASE WHEN k % 6 = 0 THEN 'CSI' ELSE 'GEC' END ELSE a END AS thumb_asset, CASE WHEN take THEN 50 ELSE s END AS thumb_size FROM j"""
 
@@ -124,7 +124,7 @@ def _chips(spark, sf_dir):
     )
 
 
-_CHIPS = """c AS (SELECT l_orderkey AS item_id, l_linenumber * 100000000 + l_partkey * 10000 + l_suppkey AS seq, l_returnflag AS m, l_quantity / 2 AS margin, l_discount AS fl, l_quantity % 7 AS before, l_quantity % 11 AS after, l_quantity AS w, l_extendedprice AS s FROM lineitem WHERE l_orderkey < 2000),
+_CHIPS = """c AS (SELECT l_orderkey AS item_id, l_linenumber * 100000000 + l_partkey * 10000 + l_suppkey AS seq, l_returnflag AS m, l_quantity / 2 AS margin, l_discount AS fl, l_quantity % 7 AS before, l_quantity % 11 AS after, l_quantity AS w, l_extendedprice AS s FROM lineitem),
 f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY seq) = 1)"""
 
 
@@ -168,12 +168,12 @@ def _documents(spark, sf_dir):
 
 
 _DOCUMENTS = f"""WITH {ACQ} SELECT id, CASE WHEN event_id % 4 != 0 THEN 'Site ' || task || '+x' ELSE 't ' || task END AS task, CASE WHEN event_id % 4 != 0 THEN DATE '2024-01-02' ELSE acq_date END AS acq_date, min_lon, max_lat,
-CASE WHEN event_id % 3 = 0 THEN 'GEC,CSI' ELSE 'SICD' END AS products, polarizations[1] AS polarizations, incidence, CASE WHEN event_id % 3 = 0 THEN 'made' END AS description, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS ts_text FROM acq WHERE event_id < 2000"""
+CASE WHEN event_id % 3 = 0 THEN 'GEC,CSI' ELSE 'SICD' END AS products, polarizations[1] AS polarizations, incidence, CASE WHEN event_id % 3 = 0 THEN 'made' END AS description, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS ts_text FROM acq"""
 
 
 def _keys(spark, sf_dir):
     a = acquisitions(spark, sf_dir)
-    return a.select("href", F.substring(F.sha2(F.concat_ws("|", "href", "task"), 256), 1, 12).alias("key"))
+    return a.select("href", matching.content_key(F.concat(F.lit("task="), "task"), F.concat(F.lit("href="), "href"), length=12).alias("key"))
 
 
 def _slugs(spark, sf_dir):
@@ -188,9 +188,40 @@ def _trimmed(spark, sf_dir):
 def _watch(spark, sf_dir):
     """The state of a watch after a first run over January 1-20 and a second over all: what the second reports."""
     a = acquisitions(spark, sf_dir)
-    found = search.search(a, SearchSpec(products="SICD")).select("href")
-    seen = search.search(a, SearchSpec(products="SICD", end="2024-01-20")).select("href")
-    return catalog.only_new(found, seen, "href")
+    spec = SearchSpec(products="SICD")
+    store = watch.WatchStore(spark, scratch(spark, "watch"))
+    name = watch.watch_key(spec)
+    watch.watch(search.search(a, SearchSpec(products="SICD", end="2024-01-20")), name, store)
+    return watch.watch(search.search(a, spec), name, store)["new_items"].select("href")
+
+
+def _refresh(spark, sf_dir):
+    """A catalog that ends on January 20, refreshed from all: what is older than the overlap stays as it was."""
+    a = acquisitions(spark, sf_dir).select("href", "task", "acq_date", "place", "incidence")
+    stored = a.where("acq_date <= '2024-01-20'")
+    live = a.withColumn("incidence", F.col("incidence") + 1)
+    return refresh.refresh(stored, live, 7)[0].select("href", "task", "acq_date", "incidence")
+
+
+def _live(spark, sf_dir):
+    a = acquisitions(spark, sf_dir)
+    stored = a.where("acq_date <= '2024-01-20' and event_id % 3 != 0").withColumn("place", F.lit("stored"))
+    return refresh.search_live(stored, a.withColumn("place", F.lit("live")), SearchSpec(products="SICD"), 7).select("href", "acq_date", "place")
+
+
+def _newest(spark, sf_dir):
+    return catalog.newest_batch(acquisitions(spark, sf_dir), 25).select("href", "acq_date")
+
+
+def _urls(spark, sf_dir):
+    a = acquisitions(spark, sf_dir)
+    own = F.when(F.col("event_id") % 2 == 0, "y.tif").otherwise("https://o/y.tif")
+    return a.select("href", items.asset_url(own, F.concat(F.lit("https://h/d/"), "id", F.lit(".json")), F.concat("id", F.lit("_GEC.tif")), {"_GEC.tif": "-gec.tif"}).alias("url"))
+
+
+def _areas(spark, sf_dir):
+    a = acquisitions(spark, sf_dir)
+    return a.select("href", geo.cell_area_m2(F.col("event_id") % 3 == 0, F.col("res_range"), -F.col("res_azimuth")).alias("area"))
 
 
 def _budget(spark, sf_dir):
@@ -213,7 +244,7 @@ def _tile_counts(spark, sf_dir):
 
 _LAT = "least(85.05112878::DOUBLE, greatest(-85.05112878::DOUBLE, {lat}))"
 _TY = "floor((1 - ln(tan(radians({lat})) + 1 / cos(radians({lat}))) / pi()) / 2 * 128)"
-_TILE_COUNTS = f"""WITH {ACQ}, b AS (SELECT href, floor((min_lon + 180) / 360 * 128)::INT AS x0, least(127, floor((max_lon + 180) / 360 * 128))::INT AS x1, least(127, {_TY.format(lat=_LAT.format(lat='min_lat'))})::INT AS y1, greatest(0, {_TY.format(lat=_LAT.format(lat='max_lat'))})::INT AS y0 FROM acq WHERE event_id < 2000 AND min_lat > -80),
+_TILE_COUNTS = f"""WITH {ACQ}, b AS (SELECT href, floor((min_lon + 180) / 360 * 128)::INT AS x0, least(127, floor((max_lon + 180) / 360 * 128))::INT AS x1, least(127, {_TY.format(lat=_LAT.format(lat='min_lat'))})::INT AS y1, greatest(0, {_TY.format(lat=_LAT.format(lat='max_lat'))})::INT AS y0 FROM acq),
 e AS (SELECT href, unnest(range(x0, x1 + 1)) AS x, y0, y1 FROM b), f AS (SELECT href, x, unnest(range(y0, y1 + 1)) AS y FROM e) SELECT x::INT AS x, y::INT AS y, count(*) AS n FROM f GROUP BY 1, 2"""
 
 
@@ -236,17 +267,17 @@ REGISTERED = {
     "utm_zone": (_utm, f"WITH {ACQ} SELECT href, (CASE WHEN min_lat + 1 >= 0 THEN 32600 ELSE 32700 END + (floor((min_lon + 181) / 6)::INT % 60 + 60) % 60 + 1)::INT AS epsg FROM acq"),
     "dem_tiles": (
         _dem,
-        f"""WITH {ACQ}, t AS (SELECT href, unnest(range(min_lat::INT, max_lat::INT)) AS la, min_lon, max_lon FROM acq WHERE event_id < 500), u AS (SELECT href, la, unnest(range(min_lon::INT, max_lon::INT)) AS lo FROM t)
+        f"""WITH {ACQ}, t AS (SELECT href, unnest(range(min_lat::INT, max_lat::INT)) AS la, min_lon, max_lon FROM acq), u AS (SELECT href, la, unnest(range(min_lon::INT, max_lon::INT)) AS lo FROM t)
         SELECT href, 'Copernicus_DSM_COG_10_' || CASE WHEN la >= 0 THEN 'N' ELSE 'S' END || lpad(abs(la)::VARCHAR, 2, '0') || '_00_' || CASE WHEN lo >= 0 THEN 'E' ELSE 'W' END || lpad(abs(lo)::VARCHAR, 3, '0') || '_00_DEM' AS tile FROM u""",
     ),
     "provenance_groups": (
         _groups,
-        """WITH s AS (SELECT l_orderkey || '-' || l_linenumber AS item_id, l_shipdate AS ts, CASE WHEN l_returnflag != 'N' THEN l_returnflag END AS c, CASE WHEN l_returnflag != 'A' THEN l_linestatus END AS k FROM lineitem WHERE l_orderkey < 600)
+        """WITH s AS (SELECT l_orderkey || '-' || l_linenumber AS item_id, l_shipdate AS ts, CASE WHEN l_returnflag != 'N' THEN l_returnflag END AS c, CASE WHEN l_returnflag != 'A' THEN l_linestatus END AS k FROM lineitem)
         SELECT coalesce(c, 'none') AS calibration, coalesce(k, 'none') AS speckle, count(*) AS n, md5(string_agg(item_id, ',' ORDER BY ts, item_id)) AS items_md5 FROM s GROUP BY 1, 2""",
     ),
     "provenance_conflicts": (
         _conflicts,
-        """WITH s AS (SELECT coalesce(CASE WHEN l_returnflag != 'N' THEN l_returnflag END, 'none') AS c, coalesce(CASE WHEN l_returnflag != 'A' THEN l_linestatus END, 'none') AS k FROM lineitem WHERE l_orderkey < 600),
+        """WITH s AS (SELECT coalesce(CASE WHEN l_returnflag != 'N' THEN l_returnflag END, 'none') AS c, coalesce(CASE WHEN l_returnflag != 'A' THEN l_linestatus END, 'none') AS k FROM lineitem),
         u AS (SELECT DISTINCT 'calibration' AS key, c AS v FROM s UNION SELECT DISTINCT 'speckle', k FROM s) SELECT key, string_agg(v, ',' ORDER BY v) AS "values" FROM u GROUP BY key HAVING count(*) > 1""",
     ),
     "chip_noise_summary": (_noise, f"WITH {_CHIPS} SELECT count(*) AS items, (SELECT string_agg(m, ',' ORDER BY m) FROM (SELECT DISTINCT m FROM f)) AS models, count(*) FILTER (margin < 6) AS low_margin, min(margin) AS min_margin_db, max(fl) AS max_floored FROM f"),
@@ -258,8 +289,8 @@ REGISTERED = {
     "preflight_verdicts": (lambda s, d: _preflight(s, d).select("item_id", "supported", "reason"), f"WITH {_PREFLIGHT} SELECT k AS item_id, reason IS NULL AS supported, reason FROM v"),
     "preflight_rollup": (lambda s, d: products.rollup(_preflight(s, d)), f"WITH {_PREFLIGHT} SELECT count(*) FILTER (reason IS NULL) AS supported, count(*) FILTER (reason IS NOT NULL AND NOT bad) AS refused, count(*) FILTER (bad) AS unreadable, sum(b)::BIGINT AS product_bytes, sum(b) FILTER (reason IS NOT NULL)::BIGINT AS bytes_avoided FROM v"),
     "stac_documents": (_documents, _DOCUMENTS),
-    "content_keys": (_keys, f"WITH {ACQ} SELECT href, substr(sha256(href || '|' || task), 1, 12) AS key FROM acq"),
-    "slugs": (_slugs, "WITH s AS (SELECT conv_id, turn, regexp_replace(regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM conversations) SELECT conv_id, turn, CASE WHEN coalesce(s, '') = '' THEN 'item' ELSE s END AS slug FROM s"),
+    "content_keys": (_keys, f"WITH {ACQ} SELECT href, substr(sha256('[\"href=' || href || '\",\"task=' || task || '\"]'), 1, 12) AS key FROM acq"),
+    "slugs": (_slugs, "WITH s AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM conversations) SELECT conv_id, turn, CASE WHEN coalesce(s, '') = '' THEN 'item' ELSE s END AS slug FROM s"),
     "trimmed_bounds": (_trimmed, f"WITH {ACQ} SELECT href, regexp_replace(printf('%.5f', min_lon + value / 1000), '\\.?0+$', '') AS lon FROM acq"),
     "watch_delta": (_watch, f"WITH {ACQ} SELECT href FROM acq WHERE list_contains(products, 'SICD') AND acq_date > DATE '2024-01-20'"),
     "daily_budget": (
@@ -270,5 +301,10 @@ REGISTERED = {
     "daily_counts": (_daily, "SELECT ts::DATE AS day, user_id AS client, count(*) AS n FROM events GROUP BY 1, 2"),
     "tile_counts": (_tile_counts, _TILE_COUNTS),
     "vector_tiles": (_tiles, None),
+    "refresh_overlap": (_refresh, f"WITH {ACQ} SELECT href, task, acq_date, CASE WHEN acq_date >= DATE '2024-01-13' THEN incidence + 1 ELSE incidence END AS incidence FROM acq"),
+    "live_search": (_live, f"WITH {ACQ}, o AS (SELECT *, acq_date <= DATE '2024-01-20' AND event_id % 3 != 0 AS old FROM acq WHERE list_contains(products, 'SICD')) SELECT href, acq_date, CASE WHEN old THEN 'stored' ELSE 'live' END AS place FROM o WHERE old OR acq_date >= DATE '2024-01-13'"),
+    "newest_batch": (_newest, f"WITH {ACQ} SELECT href, acq_date FROM acq ORDER BY acq_date DESC NULLS LAST, href LIMIT 25"),
+    "asset_urls": (_urls, f"WITH {ACQ} SELECT href, CASE WHEN event_id % 2 = 0 THEN 'https://h/d/' || id || '-gec.tif' ELSE 'https://o/y.tif' END AS url FROM acq"),
+    "cell_areas": (_areas, f"WITH {ACQ} SELECT href, CASE WHEN event_id % 3 != 0 THEN abs(res_range * res_azimuth) END AS area FROM acq"),
     "fuzzy_names": (_fuzzy, None),
 }

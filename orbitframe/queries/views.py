@@ -58,7 +58,7 @@ def _permitted(spark, sf_dir):
 
 def _features(spark, sf_dir):
     f = sinks.features(acquisitions(spark, sf_dir), ["task", "place"])
-    return f.select(F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.geometry.coordinates[0][2][0]").cast("double").alias("east"), F.get_json_object("value", "$.properties.place").alias("place"))
+    return f.select(F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.geometry.type").alias("type"), F.get_json_object("value", "$.geometry.coordinates").alias("coordinates"), F.get_json_object("value", "$.properties.place").alias("place"))
 
 
 def _blobs(spark, sf_dir):
@@ -72,6 +72,12 @@ def _places(spark, sf_dir):
     return bake.bake_places(a, lambda lat, lon: f"{int(lat)}/{int(lon)}").select("href", "place")
 
 
+_POINT = "'[' || {} || ',' || {} || ']'"
+_RING = lambda *points: "'[[' || " + " || ',' || ".join(_POINT.format(x, y) for x, y in points) + " || ']]'"
+_HALF = _RING(("min_lon", "min_lat"), ("max_lon", "min_lat"), ("min_lon", "max_lat"), ("min_lon", "min_lat"))
+_BOX = _RING(("min_lon", "min_lat"), ("max_lon", "min_lat"), ("max_lon", "max_lat"), ("min_lon", "max_lat"), ("min_lon", "min_lat"))
+_FEATURES = f"WITH {ACQ} SELECT id, 'Polygon' AS type, CASE WHEN event_id % 4 = 1 THEN {_HALF} ELSE {_BOX} END AS coordinates, place FROM acq"
+
 REGISTERED = {
     "frames_in_order": (_ordered, f"WITH {ACQ} SELECT href, (row_number() OVER (PARTITION BY task ORDER BY ts, href) - 1)::INT AS frame, strftime(ts, '%Y-%m-%d') AS label FROM acq"),
     "frame_pairs": (_pairs, f"WITH {ACQ}, p AS (SELECT href, lag(href) OVER (PARTITION BY task ORDER BY ts, href) AS prev_href FROM acq) SELECT * FROM p WHERE prev_href IS NOT NULL"),
@@ -80,11 +86,11 @@ REGISTERED = {
     "affine_warp": (_warp, _WARP),
     "context_cards": (_cards, f"WITH {ACQ} SELECT href, coalesce(place, task) AS where_text, (min_lat + max_lat) / 2 AS lat, (min_lon + max_lon) / 2 AS lon, len(products)::INT AS n_products FROM acq"),
     "permitted": (_permitted, f"WITH {ACQ} SELECT href FROM acq WHERE (min_lon + max_lon) / 2 BETWEEN -50 AND 60 AND (min_lat + max_lat) / 2 BETWEEN -20 AND 40"),
-    "geojson_features": (_features, f"WITH {ACQ} SELECT id, max_lon AS east, place FROM acq"),
+    "geojson_features": (_features, _FEATURES),
     "vector_blobs": (_blobs, "SELECT vec_id, 256::INT AS bytes, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last FROM embeddings"),
     "baked_places": (
         _places,
-        f"""WITH {ACQ}, a AS (SELECT *, (min_lat + max_lat) / 2 AS la, (min_lon + max_lon) / 2 AS lo FROM acq WHERE event_id < 1500)
+        f"""WITH {ACQ}, a AS (SELECT *, (min_lat + max_lat) / 2 AS la, (min_lon + max_lon) / 2 AS lo FROM acq)
         SELECT href, coalesce(place, la::INT || '/' || lo::INT) AS place FROM a""",
     ),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,20 +53,24 @@ def find_xml(read, size_limit: int = MAX_XML) -> str:
     raise UnreadableProduct("no XML segment")
 
 
-def headers(files: DataFrame) -> DataFrame:
-    """path, xml and error of files(path, content); each file by itself, unreadable ones with their reason."""
+def headers(files: DataFrame, open_at: Callable[[str], Callable[[int, int], bytes]] | None = None) -> DataFrame:
+    """path, xml and error of files(path); each file by itself, unreadable ones with their reason.
+
+    open_at gives a reader of byte ranges for a path (archive.RangeReader over the caller's client), so that only headers are read, however
+    large the products.  Without it files needs a column content, for small products that are rows already.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            for path, content in zip(pdf["path"], pdf["path"] if open_at else pdf["content"], strict=True):
                 try:
-                    rows.append((path, find_xml(lambda a, n, c=content: bytes(c[a : a + n])), None))
+                    rows.append((path, find_xml(open_at(path) if open_at else lambda a, n, c=content: bytes(c[a : a + n])), None))
                 except UnreadableProduct as e:
                     rows.append((path, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "xml", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, xml string, error string")
+    return files.select("path", *([] if open_at else ["content"])).mapInPandas(run, "path string, xml string, error string")
 
 
 def parsed(rows: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ VERSION = 4
 
 
 def write_catalog(acq: DataFrame, path: str) -> None:
-    """Partitioned by month, each file sorted by site and date for min/max pruning."""
+    """Partitioned by month, each file sorted by site and date for min/max pruning; a range exchange, so that a large month is several tasks' work."""
     out = acq.withColumn("acq_month", F.date_format("acq_date", "yyyy-MM"))
-    out.repartition("acq_month").sortWithinPartitions("task", "acq_date").write.mode("overwrite").partitionBy("acq_month").parquet(f"{path}/items")
+    out.repartitionByRange("acq_month", "task", "href").sortWithinPartitions("acq_month", "task", "acq_date").write.mode("overwrite").partitionBy("acq_month").parquet(f"{path}/items")
     write_meta(acq.sparkSession, path, {"version": str(VERSION)})
 
 
@@ -49,11 +49,21 @@ def flat(coordinates: Column) -> Column:
 
 
 def features(acq: DataFrame, properties: list[str]) -> DataFrame:
-    """A GeoJSON feature for each row, as text: the box as a ring, properties without nulls."""
+    """A GeoJSON feature for each row, as text: its rings, or else its box, and properties without nulls."""
     w, s, e, n = (F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat"))
-    ring = F.array(*[F.array(x, y) for x, y in ((w, s), (e, s), (e, n), (w, n), (w, s))])
-    geometry = F.when(w.isNotNull(), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
-    return acq.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("id"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
+    box = F.array(*[F.array(x, y) for x, y in ((w, s), (e, s), (e, n), (w, n), (w, s))])
+    own = closed_rings(F.col("rings")) if "rings" in acq.columns else F.lit(None).cast("array<array<array<double>>>")
+    polygon = F.when(F.size(own) == 1, own).when(w.isNotNull(), F.array(box))
+    many = F.transform(own, lambda ring: F.array(ring))
+    feature = lambda kind, coordinates: F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("id"), F.when(coordinates.isNotNull(), F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))).alias("geometry"), F.struct(*properties).alias("properties")))
+    return acq.select(F.when(F.size(own) > 1, feature("MultiPolygon", many)).otherwise(feature("Polygon", polygon)).alias("value"))
+
+
+def closed_rings(rings: Column) -> Column:
+    """Rings of (lon, lat) structs as arrays of positions whose last is the first; null if there are none."""
+    positions = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(p["lon"], p["lat"])))
+    closed = F.transform(positions, lambda ring: F.when(ring[0] == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1))))
+    return F.when(F.size(rings) > 0, closed)
 
 
 def write_geojson_lines(acq: DataFrame, path: str, properties: list[str]) -> None:
@@ -70,21 +80,31 @@ def feature_collection(acq: DataFrame, properties: list[str], most: int = 10_000
     return json.dumps(out | {"bbox": list(b)} if b[0] is not None else out)
 
 
-def wkb_box(w: Column, s: Column, e: Column, n: Column) -> Column:
-    """A box as a WKB polygon, in vectorised Python (no built-in packs doubles)."""
+def _wkb(ring) -> bytes:
+    points = [(float(x), float(y)) for x, y in ring]
+    return struct.pack(f"<BIII{2 * len(points)}d", 1, 3, 1, len(points), *(v for p in points for v in p))
+
+
+def wkb(rings: Column, w: Column, s: Column, e: Column, n: Column) -> Column:
+    """A row's closed rings, or else its box, as a WKB polygon or multipolygon, in vectorised Python (no built-in packs doubles)."""
     @F.pandas_udf("binary")
-    def pack(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    def pack(r: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         out = []
-        for x0, y0, x1, y1 in zip(a, b, c, d, strict=True):
-            out.append(None if pd.isna(x0) or pd.isna(y0) or pd.isna(x1) or pd.isna(y1) else struct.pack("<BIII10d", 1, 3, 1, 5, x0, y0, x1, y0, x1, y1, x0, y1, x0, y0))
+        for own, x0, y0, x1, y1 in zip(r, a, b, c, d, strict=True):
+            if own is not None and len(own):
+                parts = [_wkb(ring) for ring in own]
+                out.append(parts[0] if len(parts) == 1 else struct.pack("<BII", 1, 6, len(parts)) + b"".join(parts))
+            else:
+                out.append(None if pd.isna(x0) or pd.isna(y0) or pd.isna(x1) or pd.isna(y1) else _wkb(((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))))
         return pd.Series(out, dtype=object)
 
-    return pack(w, s, e, n)
+    return pack(rings, w, s, e, n)
 
 
 def write_geoparquet(acq: DataFrame, path: str) -> None:
     """Rows with geometry, as WKB; none left is an error."""
-    out = acq.where("min_lon is not null").withColumn("geometry", wkb_box(*[F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")]))
+    own = closed_rings(F.col("rings")) if "rings" in acq.columns else F.lit(None).cast("array<array<array<double>>>")
+    out = acq.where("min_lon is not null").withColumn("geometry", wkb(own, *[F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")]))
     if out.limit(1).count() == 0:
         raise PlanError("no row has a geometry")
     out.write.mode("overwrite").parquet(path)
@@ -111,7 +131,7 @@ def write_manifest(chips: DataFrame, path: str, skipped: DataFrame | None = None
 
 
 def write_cube(cells: DataFrame, path: str) -> None:
-    cells.repartition("pass_idx").sortWithinPartitions("row", "col").write.mode("overwrite").partitionBy("pass_idx").parquet(path)
+    cells.repartitionByRange("pass_idx", "row", "col").sortWithinPartitions("pass_idx", "row", "col").write.mode("overwrite").partitionBy("pass_idx").parquet(path)
 
 
 def write_chips(chips: DataFrame, path: str, by: str) -> None:

@@ -15,7 +15,7 @@ from .test_catalog import SCHEMA, row
 
 def test_frames(spark):
     df = spark.createDataFrame([row("a", day=5), row("b", day=1), row("c", day=None), row("d", day=3)], SCHEMA)
-    assert [(r["href"], r["label"]) for r in frames.ordered(df).orderBy("frame").collect()] == [("b", "2024-01-01"), ("d", "2024-01-03"), ("a", "2024-01-05"), ("c", "c")]
+    assert [(r["href"], r["label"]) for r in frames.ordered(df.withColumn("one", F.lit(1)), ["one"]).orderBy("frame").collect()] == [("b", "2024-01-01"), ("d", "2024-01-03"), ("a", "2024-01-05"), ("c", "c")]
     assert [r["href"] for r in frames.change_frames(df).collect()] == ["b", "a"] and frames.timescan_frames(df).count() == 3
     assert {(r["prev_href"], r["href"]) for r in frames.pairs(df, ["task"]).collect()} == {("b", "d"), ("d", "a")}
     with pytest.raises(PlanError):

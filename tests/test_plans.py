@@ -78,6 +78,11 @@ def test_plans_from_replies():
 def test_geometries():
     square = lambda x, y: {"type": "Polygon", "coordinates": [[[x, y], [x + 2, y], [x + 2, y + 2], [x, y + 2], [x, y]]]}
     assert len(parse_geometry({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": square(0, 0)}, {"type": "Feature", "geometry": {"type": "MultiPolygon", "coordinates": [square(5, 5)["coordinates"]] * 2}}]})) == 3
+    for empty in ({"type": "FeatureCollection", "features": []}, {"type": "GeometryCollection", "geometries": []}, {"type": "MultiPolygon", "coordinates": []}):
+        with pytest.raises(PlanError):
+            parse_geometry(empty)
+        with pytest.raises(PlanError):
+            SearchSpec(intersects=empty).validated()
     a = parse_geometry(square(0, 0))
     for x, y, want in ((1, 1, True), (2, 0, True), (2, 2, True), (3, 3, False), (0.5, 0.5, True)):
         assert rings_meet(a, parse_geometry(square(x, y))) is want

@@ -54,16 +54,54 @@ def test_vector_tiles_are_whole(spark, far):
     at = {}
     for r in acquisitions(spark, far).orderBy("href").collect():
         w, s, e, n = r["min_lon"], r["min_lat"], r["max_lon"], r["max_lat"]
+        ring = [(p["lon"], p["lat"]) for p in r["rings"][0]] if r["rings"] else [(w, s), (e, s), (e, n), (w, n)]
         spots = lambda lon: math.floor((lon + 180) / 360 * 128)
         for x in range(max(0, spots(w)), min(127, spots(e)) + 1):
             for y in range(128):
                 # without the buffer a tile that the box doesn't touch has no ring
-                if tiles.tile_ring([(w, s), (e, s), (e, n), (w, n)], 7, x, y) and touches(s, n, y):
-                    at.setdefault((x, y), []).append((3, [tiles.tile_ring([(w, s), (e, s), (e, n), (w, n)], 7, x, y)], {k: r[k] for k in ("task", "incidence") if r[k] is not None}))
+                if tiles.tile_ring(ring, 7, x, y) and touches(s, n, y):
+                    at.setdefault((x, y), []).append((3, [tiles.tile_ring(ring, 7, x, y)], {k: r[k] for k in ("task", "incidence") if r[k] is not None}))
     want = {(7, *k, hashlib.sha256(gzip.compress(tiles.encode_layer("footprints", f), mtime=0)).hexdigest()) for k, f in at.items()}
     assert want and {(r["zoom"], r["x"], r["y"], r["sha256"]) for r in QUERIES["vector_tiles"](spark, far).collect()} == want
 
 
+def test_wrapped_boxes_keep_their_centre_below_footprints(spark):
+    acq = spark.createDataFrame([("a", -179.0, 10.0, 179.0, 12.0)], "href string, min_lon double, min_lat double, max_lon double, max_lat double")
+    assert tiles.tile_ids(acq, 2).count() == 1 and tiles.tile_ids(acq, tiles.FOOTPRINT_ZOOM).count() == 0
+    assert tiles.encode_tiles(acq, 2, "centres", []).count() == 1
+
+
+def test_rings_reach_the_sinks(spark, tmp_path):
+    """Two rings: a MultiPolygon in GeoJSON and in WKB; a closed one stays as it is."""
+    import json
+    import struct
+
+    from orbitframe.sources import sinks
+
+    rings = [[(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)], [(5.0, 5.0), (6.0, 5.0), (6.0, 6.0), (5.0, 5.0)]]
+    acq = spark.createDataFrame([("a", 0.0, 0.0, 6.0, 6.0, [[{"lon": x, "lat": y} for x, y in r] for r in rings])], "id string, min_lon double, min_lat double, max_lon double, max_lat double, rings array<array<struct<lon:double,lat:double>>>")
+    got = json.loads(sinks.features(acq, ["id"]).first()["value"])["geometry"]
+    closed = [[list(p) for p in (r if r[0] == r[-1] else [*r, r[0]])] for r in rings]
+    assert got == {"type": "MultiPolygon", "coordinates": [[r] for r in closed]}
+    sinks.write_geoparquet(acq, str(tmp_path / "g"))
+    raw = bytes(spark.read.parquet(str(tmp_path / "g")).first()["geometry"])
+    assert struct.unpack("<BII", raw[:9]) == (1, 6, 2) and len(raw) == 9 + sum(13 + 16 * len(r) for r in closed)
+
+
+def test_headers_read_ranges_only(spark):
+    from orbitframe.errors import UnreadableProduct
+    from orbitframe.sources import products
+
+    def open_at(path):
+        def read(offset, length):
+            raise UnreadableProduct(f"asked for {length} bytes of {path}")
+
+        return read
+
+    row = products.headers(spark.createDataFrame([("p1",)], "path string"), open_at).first()
+    assert row["xml"] is None and row["error"].endswith("of p1")
+
+
 def touches(south, north, y):
     """Whether row y of zoom 7 holds a latitude between the two."""
     row = lambda lat: (1 - math.log(math.tan(math.radians(lat)) + 1 / math.cos(math.radians(lat))) / math.pi) / 2 * 128
