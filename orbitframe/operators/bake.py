@@ -3,27 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-class SearchSource(Protocol):
-    """Whatever finds acquisitions for a spec."""
-
-    def search(self, spec) -> DataFrame: ...
-
-
-class SeenKeys(Protocol):
-    """Whatever remembers the keys of watches."""
-
-    def seen(self, name: str, run: str | None = None) -> DataFrame: ...
-
-    def remember(self, name: str, keys: DataFrame, run: str) -> None: ...
-
-
 def bake(rows: DataFrame, make: Callable, columns: list[str], out: str, kind: str, key: str = "href", skip_errors: bool = True) -> DataFrame:
     """key, out and error: make(*columns) of each row, on the executors.  Without skip_errors the first error fails the job."""
 

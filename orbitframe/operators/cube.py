@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import PlanError
 from ..functions.radiometry import db, valid
+from .quantiles import quantiles
 
 # Change threshold, excess over the floor that stands clear, bin of the quantile sketch.
 THRESHOLD_DB, CLEAR, BIN_DB = 3.0, 1.25, 0.05
@@ -38,13 +39,9 @@ def common_extent(boxes: DataFrame, extent: str = "intersection") -> DataFrame:
 def distribution(cells: DataFrame) -> DataFrame:
     """Of each pass: valid cells and fraction, mean, population deviation, median, 5th and 95th percentile (exact, linear)."""
     v = F.col("value")
-    return masked(cells).groupBy("pass_idx").agg(
-        F.count("value").alias("valid_cells"),
-        (F.count("value") / F.count(F.lit(1))).alias("valid_fraction"),
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("std"),
-        F.percentile(v, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("_q"),
-    ).select("pass_idx", "valid_cells", "valid_fraction", "mean", F.col("_q")[1].alias("median"), "std", F.col("_q")[0].alias("p5"), F.col("_q")[2].alias("p95"))
+    moments = [F.count(v).alias("valid_cells"), (F.count(v) / F.count(F.lit(1))).alias("valid_fraction"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")]
+    out = quantiles(masked(cells), ["pass_idx"], v, [0.05, 0.5, 0.95], moments)
+    return out.select("pass_idx", "valid_cells", "valid_fraction", "mean", F.col("q")[1].alias("median"), "std", F.col("q")[0].alias("p5"), F.col("q")[2].alias("p95"))
 
 
 def sketch_quantiles(cells: DataFrame, qs: list[float]) -> DataFrame:

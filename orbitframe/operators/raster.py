@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import PlanError
 from ..functions.radiometry import M_PER_DEGREE, valid
+from .quantiles import quantiles
 
 # Side of a block for looks, least share of valid cells in it, default window, percentile of a noise floor.
 BLOCK, MIN_VALID, WINDOW, NOISE_PERCENTILE = 16, 0.5, 5, 5.0
@@ -91,8 +92,8 @@ def lee_filter(cells: DataFrame, n_looks: float, window: int = WINDOW, by: list[
 def stretch(cells: DataFrame, by: list[str], low: float = 2, high: float = 98, column: str = "value") -> DataFrame:
     """0 ... 255 between two percentiles of the valid cells, as level; invalid ones are null."""
     v = valid(F.col(column).cast("double"))
-    cut = cells.groupBy(*by).agg(F.percentile(v, F.array(F.lit(low / 100), F.lit(high / 100))).alias("_q"))
-    cut = cut.select(*by, F.col("_q")[0].alias("_lo"), F.when(F.col("_q")[1] > F.col("_q")[0], F.col("_q")[1]).otherwise(F.col("_q")[0] + 1).alias("_hi"))
+    q = F.col("q")
+    cut = quantiles(cells, by, v, [low / 100, high / 100]).select(*by, q[0].alias("_lo"), F.when(q[1] > q[0], q[1]).otherwise(q[0] + 1).alias("_hi"))
     out = cells.join(cut, by) if by else cells.join(F.broadcast(cut))  # one row
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))))
     return out.withColumn("level", (share * 255).cast("int")).drop("_lo", "_hi")
@@ -185,7 +186,7 @@ def noise_floor(cells: DataFrame, by: list[str], percentile: float = NOISE_PERCE
     """floor, median and margin_db of the power of each scene."""
     v = valid(F.col("value").cast("double"))
     p = v * v
-    out = cells.groupBy(*by).agg(F.percentile(p, F.lit(percentile / 100)).alias("floor"), F.median(p).alias("median"))
+    out = quantiles(cells, by, p, [percentile / 100, 0.5]).select(*by, F.col("q")[0].alias("floor"), F.col("q")[1].alias("median"))
     return out.withColumn("margin_db", F.when((F.col("floor") > 0) & (F.col("median") > 0), 10 * F.log10(F.col("median") / F.col("floor"))))
 
 
@@ -215,5 +216,5 @@ def noise_profile(cells: DataFrame, rows: int, degree: int = 2, min_samples: int
 def compare_models(pixels: DataFrame) -> DataFrame:
     """bias, shape and residual of pixels(inferred_db, measured_db): the median difference, the spread around it, and the root mean square."""
     d = pixels.withColumn("_d", F.col("inferred_db") - F.col("measured_db"))
-    bias = d.agg(F.median("_d").alias("bias_db"))
+    bias = quantiles(d, [], F.col("_d"), [0.5]).select(F.col("q")[0].alias("bias_db"))
     return d.join(F.broadcast(bias)).agg(F.first("bias_db").alias("bias_db"), F.sqrt(F.avg(F.pow(F.col("_d") - F.col("bias_db"), 2))).alias("shape_db"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("residual_db"))  # one row

@@ -62,17 +62,18 @@ def coverage(acq: DataFrame, lists: bool = True) -> DataFrame:
     when = F.struct(F.col("ts").isNull().alias("a"), F.col("ts").alias("b"), F.col("href").alias("c"))
     place = F.min_by(F.when(F.trim("place") != "", F.col("place")), F.when(F.trim("place") != "", when))
     box = union_bbox(*(F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")))
-    base = named.groupBy("task").agg(F.count(F.lit(1)).alias("passes"), place.alias("place"), box.alias("bbox"))
+    listed = F.collect_list(F.struct(when.alias("k"), F.col("polarizations").alias("p")))
+    # One list of a site's passes, in one aggregate, gives both its hrefs and the comparable ones.
+    more = [F.flatten(F.collect_set("products")).alias("_products"), F.flatten(F.collect_set("polarizations")).alias("_polarizations"), listed.alias("_passes")] if lists else []
+    base = named.groupBy("task").agg(F.count(F.lit(1)).alias("passes"), place.alias("place"), box.alias("bbox"), *more)
     all_of, own = figures(dated.select("task", "ts", "href"), ["task"]), figures(same.select("task", "ts", "href"), ["task"], "comparable_")
     out = base.join(all_of, "task", "left").join(own, "task", "left").join(best, "task", "left")
     if lists:
-        products = named.select("task", F.explode("products").alias("p")).distinct().groupBy("task").agg(F.array_sort(F.collect_list("p")).alias("products"))
-        pols = named.select("task", F.explode("polarizations").alias("p")).distinct().groupBy("task").agg(F.array_sort(F.collect_list("p")).alias("polarizations"))
-        ordered = lambda: F.transform(F.array_sort(F.collect_list(when)), lambda x: x["c"])
-        hrefs = named.groupBy("task").agg(ordered().alias("hrefs"))
-        own_hrefs = same.groupBy("task").agg(ordered().alias("comparable_hrefs"))
-        for more in (products, pols, hrefs, own_hrefs):
-            out = out.join(more, "task", "left")
+        some = lambda a: F.when(F.size(a) > 0, a)
+        values = lambda a: some(F.array_sort(F.array_distinct(F.array_compact(a))))
+        hrefs = lambda a: some(F.transform(a, lambda x: x["k"]["c"]))
+        out = out.withColumn("_passes", F.array_sort("_passes")).withColumns({"products": values("_products"), "polarizations": values("_polarizations"), "hrefs": hrefs("_passes")})
+        out = out.withColumn("comparable_hrefs", hrefs(F.filter("_passes", lambda x: ~x["k"]["a"] & x["p"].eqNullSafe(F.col("comparable_polarizations")))))
     return out.select(
         "task",
         F.coalesce("place", "task").alias("label"),

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import math
 import struct
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,17 +60,32 @@ def _value(v) -> bytes:
     return _field(1, str(v).encode())
 
 
-def encode_layer(name: str, features: list[tuple[int, list, dict]]) -> bytes:
-    """A layer of (1 point or 3 polygon, parts, properties); keys and values are stored once."""
-    keys: dict[str, int] = {}
-    values: dict[tuple, int] = {}
-    body = _field(1, name.encode())
-    for kind, parts, props in features:
-        tags = [n for k, v in props.items() if v is not None for n in (keys.setdefault(k, len(keys)), values.setdefault((type(v), v), len(values)))]
+class Layer:
+    """A layer in the making: features are encoded as they come, keys and values are stored once."""
+
+    def __init__(self, name: str):
+        self.keys: dict[str, int] = {}
+        self.values: dict[tuple, int] = {}
+        self.body, self.features = bytearray(_field(1, name.encode())), 0
+
+    def add(self, kind: int, parts: list, props: dict) -> None:
+        """A point (1) or polygon (3); properties without a value are left out."""
+        tags = [n for k, v in props.items() if v is not None for n in (self.keys.setdefault(k, len(self.keys)), self.values.setdefault((type(v), v), len(self.values)))]
         f = _field(2, b"".join(map(uvarint, tags))) + uvarint(3 << 3) + uvarint(kind) + _field(4, b"".join(map(uvarint, _commands(kind, parts))))
-        body += _field(2, f)
-    body += b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _value(v)) for _, v in values)
-    return _field(3, body + uvarint(5 << 3) + uvarint(EXTENT) + uvarint(15 << 3) + uvarint(2))
+        self.body += _field(2, f)
+        self.features += 1
+
+    def encoded(self) -> bytes:
+        tables = b"".join(_field(3, k.encode()) for k in self.keys) + b"".join(_field(4, _value(v)) for _, v in self.values)
+        return _field(3, bytes(self.body) + tables + uvarint(5 << 3) + uvarint(EXTENT) + uvarint(15 << 3) + uvarint(2))
+
+
+def encode_layer(name: str, features: list[tuple[int, list, dict]]) -> bytes:
+    """A layer of (1 point or 3 polygon, parts, properties)."""
+    layer = Layer(name)
+    for f in features:
+        layer.add(*f)
+    return layer.encoded()
 
 
 def _clip(ring: list[tuple[float, float]], low: float, high: float) -> list[tuple[float, float]]:
@@ -127,29 +143,46 @@ def tile_ids(acq: DataFrame, zoom: int) -> DataFrame:
 
 
 def encode_tiles(acq: DataFrame, zoom: int, layer: str, properties: list[str]) -> DataFrame:
-    """zoom, x, y, tile_id, sha256 and mvt (gzip) for each tile that has a feature."""
+    """zoom, x, y, tile_id, sha256 and mvt (gzip) for each tile that has a feature.
+
+    Rows come to a task sorted by tile and href, by a sort that spills, and go into the layer one by one: a crowded
+    tile, such as the one of zoom 0, costs a worker its encoded bytes, not a frame of all its rows.
+    """
     rows = tile_ids(acq, zoom).withColumn("tile_id", hilbert_id(zoom, F.col("x"), F.col("y")))
     cols = ["x", "y", "tile_id", "href", "min_lon", "min_lat", "max_lon", "max_lat", *(["rings"] if "rings" in acq.columns else []), *properties]
 
-    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        features = []
-        for r in pdf.sort_values("href").to_dict("records"):
-            props = {p: (v.item() if hasattr(v, "item") else v) for p in properties if not (v := r[p]) is None and v == v}
-            w, s, e, n = r["min_lon"], r["min_lat"], r["max_lon"], r["max_lat"]
-            if zoom < FOOTPRINT_ZOOM:
-                f = tile_point((w + e) / 2, (s + n) / 2, zoom, x, y)
-                features.append((1, [[f]], props))
-            else:
-                own = r.get("rings")
-                own = [[(p["lon"], p["lat"]) for p in ring] for ring in own] if own is not None and len(own) else [[(w, s), (e, s), (e, n), (w, n)]]
-                if parts := [t for ring in own if (t := tile_ring(ring, zoom, x, y))]:
-                    features.append((3, parts, props))
-        body = gzip.compress(encode_layer(layer, features), mtime=0) if features else b""
-        return pd.DataFrame({"zoom": [zoom], "x": [x], "y": [y], "tile_id": [int(pdf["tile_id"].iloc[0])], "sha256": [hashlib.sha256(body).hexdigest()], "mvt": [body]})
-
-    out = rows.select(*dict.fromkeys(cols)).groupBy("tile_id").applyInPandas(encode, "zoom int, x int, y int, tile_id long, sha256 string, mvt binary")
-    return out.where(F.length("mvt") > 0)
+    def feature(r: dict) -> tuple[int, list]:
+        x, y, w, s, e, n = (r[c] for c in ("x", "y", "min_lon", "min_lat", "max_lon", "max_lat"))
+        if zoom < FOOTPRINT_ZOOM:
+            return 1, [[tile_point((w + e) / 2, (s + n) / 2, zoom, x, y)]]
+        own = r.get("rings")
+        own = [[(p["lon"], p["lat"]) for p in ring] for ring in own] if own is not None and len(own) else [[(w, s), (e, s), (e, n), (w, n)]]
+        return 3, [t for ring in own if (t := tile_ring(ring, zoom, x, y))]
+
+    def tile(at: tuple[int, int, int], made: Layer) -> pd.DataFrame:
+        body = gzip.compress(made.encoded(), mtime=0)
+        return pd.DataFrame({"zoom": [zoom], "x": [at[0]], "y": [at[1]], "tile_id": [at[2]], "sha256": [hashlib.sha256(body).hexdigest()], "mvt": [body]})
+
+    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, made = None, Layer(layer)
+        for pdf in parts:
+            done = []
+            for r in pdf.to_dict("records"):
+                at = (int(r["x"]), int(r["y"]), int(r["tile_id"]))
+                if at != now:
+                    if made.features:
+                        done.append(tile(now, made))
+                    now, made = at, Layer(layer)
+                kind, shape = feature(r)
+                if shape:
+                    made.add(kind, shape, {p: (v.item() if hasattr(v, "item") else v) for p in properties if not (v := r[p]) is None and v == v})
+            if done:
+                yield pd.concat(done)
+        if made.features:
+            yield tile(now, made)
+
+    dealt = rows.select(*dict.fromkeys(cols)).repartition("tile_id").sortWithinPartitions("tile_id", "href")
+    return dealt.mapInPandas(encode, "zoom int, x int, y int, tile_id long, sha256 string, mvt binary")
 
 
 def tile_point(lon: float, lat: float, zoom: int, x: int, y: int) -> tuple[int, int]:

@@ -7,6 +7,7 @@ import json
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,20 @@ def watch_key(spec: SearchSpec) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()[:12]
 
 
+class SearchSource(Protocol):
+    """Whatever finds acquisitions for a spec."""
+
+    def search(self, spec: SearchSpec) -> DataFrame: ...
+
+
+class SeenKeys(Protocol):
+    """Whatever remembers the keys of watches."""
+
+    def seen(self, name: str, run: str | None = None) -> DataFrame: ...
+
+    def remember(self, name: str, keys: DataFrame, run: str) -> None: ...
+
+
 class WatchStore:
     """Seen keys by watch name, as Parquet that only grows: each run appends the keys that it saw first."""
 
@@ -47,18 +62,27 @@ def item_key() -> Column:
     return F.coalesce(F.nullif(F.col("href"), F.lit("")), F.col("id"))
 
 
-def watch(found: DataFrame, name: str, store: WatchStore, reset: bool = False) -> dict:
+def watch(found: DataFrame, name: str, store: SeenKeys, reset: bool = False) -> dict:
     """What a watch reports: items not seen before.  Keys are never forgotten, so one that comes back isn't new; reset reports all anew.
 
-    The keys of a run are stored under its own number first; what is reported is read back by that number.
+    The keys of a run are stored under its own number first; what is reported is read back by that number.  Of rows with
+    one key the first by ts and href is reported.
     """
-    keyed = found.withColumn("key", item_key()).where("key is not null").dropDuplicates(["key"])
+    order = F.struct(*[c for c in ("ts", "href", "id") if c in found.columns])
+    first_row = found.withColumn("key", item_key()).where("key is not null").groupBy("key").agg(F.min_by(F.struct(*found.columns), order).alias("_row"))
+    keyed = first_row.select("key", *[F.col("_row")[c].alias(c) for c in found.columns])
     seen, run = store.seen(name).select("key").distinct(), uuid.uuid4().hex
     first = seen.limit(1).count() == 0
     store.remember(name, keyed.select("key").join(seen, "key", "left_anti"), run)
-    new = keyed if reset else keyed.join(store.seen(name, run).select("key"), "key", "left_semi")
+    own = store.seen(name, run).select("key")
+    new = keyed if reset else keyed.join(own, "key", "left_semi")
     total = store.seen(name).select("key").distinct().count()
-    return {"watch": name, "checked_at": datetime.now(timezone.utc), "first_run": first, "new_count": new.count(), "total_seen": total, "new_items": new.drop("key")}
+    return {"watch": name, "checked_at": datetime.now(timezone.utc), "first_run": first, "new_count": new.count() if reset else own.count(), "total_seen": total, "new_items": new.drop("key")}
+
+
+def run_watch(source: SearchSource, spec: SearchSpec, store: SeenKeys, reset: bool = False) -> dict:
+    """A standing query against any source, named by its own parameters."""
+    return watch(source.search(spec), watch_key(spec), store, reset)
 
 
 def watch_stream(stream: DataFrame, name: str) -> DataFrame:

@@ -1,10 +1,11 @@
 import json
+import os
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from orbitframe.errors import ProvenanceMismatch
+from orbitframe.errors import PlanError, ProvenanceMismatch
 from orbitframe.operators import catalog, provenance, search, sites
 from orbitframe.plans.spec import SearchSpec, SiteSpec
 from orbitframe.sources import listing, sinks
@@ -114,7 +115,37 @@ def test_refresh_stream(spark, tmp_path):
     for part in ([("a", "x", "P")], [("a", "y", None), ("b", "z", None)]):
         spark.createDataFrame(part, "href string, task string, place string").write.mode("append").parquet(src)
         refresh.refresh_stream(spark.readStream.schema("href string, task string, place string").parquet(src), out, str(tmp_path / "cp"), ["href", "task", "place"]).awaitTermination(60)
-    assert sorted(map(tuple, spark.read.parquet(f"{out}/v1").collect())) == [("a", "y", "P"), ("b", "z", None)]
+    rows = lambda: sorted(map(tuple, refresh.current(spark, out).collect()))
+    assert rows() == [("a", "y", "P"), ("b", "z", None)]
+    refresh.compact(spark, out)
+    assert rows() == [("a", "y", "P"), ("b", "z", None)] and len([p for p in os.listdir(out) if p.startswith("log-")]) == 1
+    # A query with a new checkpoint adds to the log; what is there already stays.
+    new = str(tmp_path / "new")
+    spark.createDataFrame([("b", "w", "Q")], "href string, task string, place string").write.parquet(new)
+    refresh.refresh_stream(spark.readStream.schema("href string, task string, place string").parquet(new), out, str(tmp_path / "cp2"), ["href", "task", "place"]).awaitTermination(60)
+    assert rows() == [("a", "y", "P"), ("b", "w", "Q")]
+    with pytest.raises(PlanError):
+        refresh.current(spark, str(tmp_path / "none"))
+
+
+def test_watch_sources_and_ties(spark, tmp_path):
+    """Any source and any store will do; of rows with one key the first by ts and href is reported."""
+
+    class Source:
+        def search(self, spec):
+            return spark.createDataFrame([("k", datetime(2024, 1, d), f"n{d}") for d in (3, 1, 2)], "href string, ts timestamp, id string")
+
+    store = watch.WatchStore(spark, str(tmp_path / "seen"))
+    first = watch.run_watch(Source(), SearchSpec(products="GEC"), store)
+    assert first["new_count"] == 1 and [r["id"] for r in first["new_items"].collect()] == ["n1"]
+    assert watch.run_watch(Source(), SearchSpec(products="GEC"), store)["new_count"] == 0
+    assert watch.run_watch(Source(), SearchSpec(products="CSI"), store)["first_run"]
+
+
+def test_coverage_lists(spark):
+    rows = [row("b", day=2, pols=("VV",), products=("SICD", "GEC")), row("a", day=1, pols=("VV",), products=("GEC",)), row("c", day=3, pols=("HH",), products=("CSI",)), row("d", day=None, pols=("VV",), products=())]
+    c = sites.coverage(spark.createDataFrame(rows, SCHEMA)).first()
+    assert (c["products"], c["polarizations"], c["hrefs"], c["comparable_hrefs"]) == (["CSI", "GEC", "SICD"], ["HH", "VV"], ["a", "b", "c", "d"], ["a", "b"])
 
 
 def test_listing(spark):

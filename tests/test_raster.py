@@ -186,3 +186,21 @@ def test_schemas():
     assert all(load_schema(n).fieldNames() for n in schema_names())
     with pytest.raises(KeyError):
         load_schema("nope")
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_quantiles_are_exact(spark, accuracy):
+    """Against the built-in percentile: ties, nulls, groups of nulls, null keys, single values, and brackets much smaller than a group."""
+    from orbitframe.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(3)
+    rows = [("smooth", float(x)) for x in rng.lognormal(0, 2, 4000)] + [("ties", float(x)) for x in rng.integers(-3, 3, 3000)] + [("one", 7.0), ("none", None), ("none", None), (None, 1.0), (None, 2.0)] + [("same", 5.0)] * 500
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    qs = [0.0, 0.02, 0.5, 0.73, 1.0]
+    for by in (["g"], []):
+        got = {tuple(r[c] for c in by): (r["n"], r["q"]) for r in quantiles(df, by, F.col("v"), qs, [F.count(F.lit(1)).alias("n")], accuracy).collect()}
+        want = {tuple(r[c] for c in by): (r["n"], r["q"]) for r in df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile("v", F.array(*map(F.lit, qs))).alias("q")).collect()}
+        assert got.keys() == want.keys()
+        for k, (n, q) in want.items():
+            assert got[k][0] == n and got[k][1] == (pytest.approx(q, rel=1e-12) if q else [None] * len(qs))
+    assert quantiles(df.where("false"), ["g"], F.col("v"), qs).count() == 0
