@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ProvenanceMismatch
+from .quantiles import quantiles
 
 # Margin that warns, gain that is low.
 MARGIN_WARN_DB, GAIN_WARN = 6.0, 1.5
@@ -56,8 +57,8 @@ def speckle_summary(chips: DataFrame) -> DataFrame:
     first = chips.groupBy("item_id").agg(F.min_by(F.struct("before", "after"), "seq").alias("r"))
     gain = F.when((F.col("r.before") != 0) & (F.col("r.after") != 0), F.col("r.after") / F.col("r.before"))
     got = first.select(gain.alias("g"))
-    sorted_g = F.array_sort(F.collect_list("g"))
-    return got.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("g") < GAIN_WARN).alias("low_gain"), F.try_element_at(sorted_g, F.floor(F.size(sorted_g) / 2).cast("int") + 1).alias("median_gain"), F.min("g").alias("min_gain"))
+    counts = [F.count(F.lit(1)).alias("items"), F.count_if(F.col("g") < GAIN_WARN).alias("low_gain"), F.min("g").alias("min_gain")]
+    return quantiles(got, [], F.col("g"), [0.5], counts, higher=True).select("items", "low_gain", F.col("q")[0].alias("median_gain"), "min_gain")
 
 
 def clip_summary(chips: DataFrame) -> DataFrame:

@@ -19,11 +19,11 @@ ACCURACY = 10_000
 SLACK = 3
 
 
-def quantiles(rows: DataFrame, by: Sequence[str], value: Column, qs: Sequence[float], extra: Sequence[Column] = (), accuracy: int = ACCURACY) -> DataFrame:
-    """by, the aggregates `extra`, and q: an array of the quantiles of value, linear between neighbours.
+def quantiles(rows: DataFrame, by: Sequence[str], value: Column, qs: Sequence[float], extra: Sequence[Column] = (), accuracy: int = ACCURACY, higher: bool = False) -> DataFrame:
+    """by, the aggregates `extra`, and q: an array of the quantiles of value, linear between neighbours or, if `higher`, the upper neighbour.
 
-    Nulls don't count; a group of nulls only keeps its row, with null quantiles, and NaN is the largest value.  Groups of
-    at most `accuracy` values are counted whole.  rows is read twice: for the sketch with `extra`, and for the counts.
+    Nulls don't count; a group of nulls only keeps its row, with null quantiles, and NaN is the largest value.  Without
+    `by` there is one row, even for no rows.  Groups of at most `accuracy` values are counted whole.  rows is read twice: for the sketch with `extra`, and for the counts.
     """
     by, v, n = list(by), F.col("_v"), F.col("_n")
     ends = [min(1.0, max(0.0, q + side * SLACK / accuracy)) for q in qs for side in (-1, 1)]
@@ -37,6 +37,7 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: Column, qs: Sequence[fl
     if by:
         at = values.join(group, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]))
     else:
+        values = values.union(rows.sparkSession.range(1).select(F.lit(None).cast("double")))  # so that no rows give one
         at = values.join(F.broadcast(group))  # one row
 
     # Of each quantile: all values below its bracket are one entry (null), those within are entries of their own, those above go.
@@ -56,6 +57,6 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: Column, qs: Sequence[fl
     def between(k: int, q: float) -> Column:
         lo, hi, h = F.col(f"_lo{k}"), F.col(f"_hi{k}"), place(q)
         missed = (size > 0) & (lo.isNull() | hi.isNull())
-        return F.when(missed, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")).when(lo == hi, lo).otherwise((F.ceil(h) - h) * lo + (h - F.floor(h)) * hi)
+        return F.when(missed, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")).when(lo == hi, lo).otherwise(hi if higher else (F.ceil(h) - h) * lo + (h - F.floor(h)) * hi)
 
     return picked.select(*by, *[F.col(f"_group.{c}").alias(c) for c in more], F.array(*[between(k, q) for k, q in enumerate(qs)]).alias("q"))

@@ -197,3 +197,28 @@ def test_provenance(spark):
     assert provenance.shared(df.where("ts < 3"), ["cal"]) == {"cal": "x"}
     t = df.select(provenance.tags({"cal": F.col("cal")}).alias("t")).select("t", provenance.untag(F.col("t")).alias("u")).first()
     assert t["t"] == {"SAR_CAL": "x"} and t["u"] == {"cal": "x"}
+
+
+def test_exports_and_rollups(spark, tmp_path):
+    acq = spark.createDataFrame([("a", "i", bytearray(b"x"), "GEC", 8), ("b", "j", None, None, None)], "href string, id string, thumbnail binary, thumb_asset string, thumb_size int")
+    assert [(r["href"], r["id"], bytes(r["png"]), r["asset"], r["size"]) for r in catalog.export_thumbnails(acq).collect()] == [("a", "i", b"x", "GEC", 8)]
+    merged = catalog.merge_thumbnails(acq.withColumn("thumbnail", F.lit(None).cast("binary")), catalog.export_thumbnails(acq).drop("id"))
+    assert {r["href"]: r["thumbnail"] and bytes(r["thumbnail"]) for r in merged.collect()} == {"a": b"x", "b": None}
+    chips = spark.createDataFrame([("i", 1.0), ("j", 2.0), ("i", 3.0)], "item_id string, mean double")
+    assert provenance.chip_rollup(chips).first()[:] == (3, ["i", "j"])
+    sinks.write_chips(chips, str(tmp_path / "chips"), "item_id")
+    assert spark.read.parquet(str(tmp_path / "chips")).where("item_id = 'i'").count() == 2
+    cube = spark.createDataFrame([(p, r, c, float(p)) for p in range(2) for r in range(3) for c in range(3)], "pass_idx int, row int, col int, value double")
+    sinks.write_cube(cube, str(tmp_path / "cube"))
+    back = spark.read.parquet(str(tmp_path / "cube"))
+    assert sorted(map(tuple, back.select(*cube.columns).collect())) == sorted(map(tuple, cube.collect()))
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """Rows older than the newest less so many days don't reach a stateful operator of a later batch."""
+    src, seen = str(tmp_path / "src"), []
+    for part in ([("a", 20)], [("b", 1), ("c", 19)]):
+        spark.createDataFrame([(k, datetime(2024, 1, d)) for k, d in part], "href string, ts timestamp").write.mode("append").parquet(src)
+        late = refresh.late_tolerant(spark.readStream.schema("href string, ts timestamp").parquet(src), "ts", 7).dropDuplicates(["href", "ts"])
+        late.writeStream.foreachBatch(lambda df, _: seen.extend(r["href"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(seen) == ["a", "c"]

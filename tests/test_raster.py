@@ -204,3 +204,6 @@ def test_quantiles_are_exact(spark, accuracy):
         for k, (n, q) in want.items():
             assert got[k][0] == n and got[k][1] == (pytest.approx(q, rel=1e-12) if q else [None] * len(qs))
     assert quantiles(df.where("false"), ["g"], F.col("v"), qs).count() == 0
+    assert [r["q"] for r in quantiles(df.where("false"), [], F.col("v"), [0.5]).collect()] == [[None]]
+    upper = quantiles(df.where("g = 'smooth'"), [], F.col("v"), [0.5], (), accuracy, higher=True).first()["q"][0]
+    assert upper == sorted(v for g, v in rows if g == "smooth")[2000]
